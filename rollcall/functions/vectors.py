@@ -31,11 +31,11 @@ def bounding_box(points: Column, width: Column, height: Column) -> Column:
     """Pixel box around the landmarks, padded and kept inside the frame."""
 
     def low(axis: str, size: Column) -> Column:
-        edge = F.array_min(F.transform(points, lambda p: p[axis] * size)).cast("int") - BOX_PADDING_PX
+        edge = F.array_min(F.transform(points, lambda p: p[axis].cast("double") * size)).cast("int") - BOX_PADDING_PX
         return F.greatest(edge, F.lit(0))
 
     def high(axis: str, size: Column) -> Column:
-        edge = F.array_max(F.transform(points, lambda p: p[axis] * size)).cast("int") + BOX_PADDING_PX
+        edge = F.array_max(F.transform(points, lambda p: p[axis].cast("double") * size)).cast("int") + BOX_PADDING_PX
         return F.least(edge, size - 1)
 
     return F.struct(
