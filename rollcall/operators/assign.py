@@ -92,10 +92,14 @@ def assign_faces(events: DataFrame, ranked: DataFrame, captures: DataFrame | Non
     aggregations; a face, once held, only moves to earlier events, so rounds are at most the number of
     faces of a job plus one, whatever the number of events.
     """
-    own = ranked.select(*EVENT, "face_id", "score", F.struct(F.lit(-1), F.col("face_rank").cast("double"), F.lit(0).cast("long")).alias("_choice"))
+
+    def choice(step, place, last):
+        return F.struct(step.cast("int").alias("step"), place.cast("double").alias("place"), last.cast("long").alias("last"))
+
+    own = ranked.select(*EVENT, "face_id", "score", choice(F.lit(-1), F.col("face_rank"), F.lit(0)).alias("_choice"))
     if captures is not None:
         late = captures.groupBy(*EVENT, "face_id").agg(
-            F.min(F.struct(F.col("offset_rank"), -F.col("score"), F.col("obs_id"))).alias("_choice")
+            F.min(choice(F.col("offset_rank"), -F.col("score"), F.col("obs_id"))).alias("_choice")
         ).select(*EVENT, "face_id", F.lit(0.0).alias("score"), "_choice")
         own = own.unionByName(late.select(*own.columns))
     order = events.select(*EVENT, "event_ord")
