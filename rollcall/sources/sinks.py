@@ -84,7 +84,7 @@ def array_document(jobs: DataFrame, sections: dict[str, tuple[DataFrame, Column]
         comma = F.when(F.col("ord") > F.col("_first"), ",").otherwise("")
         parts.append(edge(-1, f'"{name}": ['))
         parts.append(body.select("job_id", F.lit(number).alias("section"), "ord", F.concat(comma, "_json").alias("line")))
-        parts.append(edge(1, "]" if number < last else "],"))
+        parts.append(edge(1, "]," if number < last else "]"))
     parts.append(jobs.select("job_id", F.lit(len(sections)).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit("}").alias("line")))
     return reduce(DataFrame.unionByName, parts)
 
