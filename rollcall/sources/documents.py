@@ -22,7 +22,7 @@ def _job_of(path: Column) -> Column:
 def _read(spark: SparkSession, base: str, name: str, schema: DataType) -> DataFrame:
     """(job_id, doc) for every ``<base>/<job>/<name>``; no file gives no rows."""
     try:
-        texts = spark.read.option("wholetext", True).text(f"{base}/*/{name}")
+        texts = spark.read.text(f"{base}/*/{name}", wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

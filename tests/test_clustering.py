@@ -42,18 +42,17 @@ def _frame(spark, jobs, shuffle=False):
     return spark.createDataFrame(rows, "job_id string, point_id long, vector array<double>")
 
 
-@pytest.mark.parametrize("seed,spread,leaders,rows", [(1, 2.0, 8, 2048), (2, 5.0, 1, 7), (3, 1.2, 2, 5)])
-def test_density_components_are_exact(spark, monkeypatch, seed, spread, leaders, rows):
+@pytest.mark.parametrize("seed,spread,leaders,rows,shuffle", [(1, 2.0, 8, 2048, False), (2, 5.0, 1, 7, True), (3, 1.2, 2, 5, True)])
+def test_density_components_are_exact(spark, monkeypatch, seed, spread, leaders, rows, shuffle):
     """Few leaders and tiny blocks force repeated leader rounds and the full block comparison."""
     monkeypatch.setattr(density, "LEADERS_PER_CELL", leaders)
     monkeypatch.setattr(density, "COMPARE_ROWS", rows)
     jobs = _random_jobs(seed, spread)
-    for shuffle in (False, True):
-        got = {}
-        for r in density.density_components(_frame(spark, jobs, shuffle)).collect():
-            got.setdefault((r.job_id, r.comp), set()).add(r.point_id)
-        for job, points in jobs.items():
-            assert {frozenset(g) for (j, _), g in got.items() if j == job} == _components(points, density.EPS)
+    got = {}
+    for r in density.density_components(_frame(spark, jobs, shuffle)).collect():
+        got.setdefault((r.job_id, r.comp), set()).add(r.point_id)
+    for job, points in jobs.items():
+        assert {frozenset(g) for (j, _), g in got.items() if j == job} == _components(points, density.EPS)
 
 
 def test_density_labels_are_numbered_by_first_observation(spark):
