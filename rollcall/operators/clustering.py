@@ -131,7 +131,8 @@ def cluster_faces(observations: DataFrame, sizes: DataFrame, count_mode: str = "
     plain = observations.drop("cluster_id", "was_noise")
     features = cut_lineage(add_features(plain, sizes).select("job_id", "obs_id", "timestamp", "feature"))
     people = cut_lineage(person_count(faces_per_timestamp(plain, count_mode)))
-    labels = renumber(choose_clustering(k_cluster_faces(features, people), density_clusters(features), people))
+    by_count, by_density = cut_lineage(k_cluster_faces(features, people)), cut_lineage(density_clusters(features))
+    labels = cut_lineage(renumber(choose_clustering(by_count, by_density, people)))
     named = plain.join(labels, ["job_id", "obs_id"]).withColumn("cluster_id", cluster_id(F.col("label"))).drop("label")
     return assign_noise(named)
 

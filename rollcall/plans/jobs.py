@@ -58,9 +58,9 @@ def number_observations(faces: DataFrame, clip_table: DataFrame) -> DataFrame:
 def speak(windows: DataFrame, people: DataFrame, max_speakers: int, most_people: int) -> DataFrame:
     """Speaker segments from voice windows: V2, V3, V4, V5."""
     counts = voices.speaker_counts(windows, people, max_speakers)
-    labels = clustering.k_cluster_voices(windows, counts, max(max_speakers, most_people, 2))
+    labels = cut_lineage(clustering.k_cluster_voices(windows, counts, max(max_speakers, most_people, 2)))
     timed = windows.select("job_id", "win_idx", "timestamp").join(labels, ["job_id", "win_idx"])
-    return voices.segments_from_labels(voices.smooth_labels(timed))
+    return voices.segments_from_labels(cut_lineage(voices.smooth_labels(timed)))
 
 
 def name_faces(
