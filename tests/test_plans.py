@@ -117,8 +117,7 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-LIGHT = ["lower_third_timeline", "k3_edl_markers", "r10_best_frame", "t18_intro_details", "t20_refresh_details", "speaker_segments",
-         "p2_intro_pass", "a8_late_faces", "i12_clip_records", "c8_nearest_euclidean", "c4_density_clusters", "t8_kept_spoken_names"]
+LIGHT = ["lower_third_timeline", "k3_edl_markers", "t18_intro_details", "p2_intro_pass", "a2_assign_faces", "c11_cluster_summary"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
