@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import text as tx
-from rollcall.operators.joins import interval_join, join_facts
+from rollcall.operators.joins import interval_join
 from rollcall.operators.ordered import following
 from rollcall.session import cut_lineage
 

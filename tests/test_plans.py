@@ -86,15 +86,13 @@ def test_finalise_and_write(spark, analysed, tmp_path):
     assert {r.timestamp for r in again.screengrab.filter("job_id = 'ada'").collect()} == {0.0}
 
 
-def test_rebuild_gives_the_same_names(spark, analysed):
-    footage, results = analysed
-    again = jobs.rebuild(
-        results.observations, results.speaker_segments, footage.frames, footage.transcript_segments, footage.clips
-    )
-    assert again.labels.exceptAll(results.labels).count() == 0
-    assert again.observations.select("job_id", "obs_id", "cluster_id").exceptAll(
-        results.observations.select("job_id", "obs_id", "cluster_id")
-    ).count() == 0
+def test_rebuild_reclusters_stored_observations(spark):
+    footage = _footage(spark, ("ada",))
+    stored = footage.observations.withColumn("cluster_id", F.lit("face_9"))
+    segments = spark.createDataFrame([("ada", 0, "speaker_0", 0.0, 12.0), ("ada", 1, "speaker_1", 12.0, 24.0)], schemas.SPEAKER_SEGMENTS)
+    again = jobs.rebuild(stored, segments, footage.frames, footage.transcript_segments, footage.clips)
+    assert sorted((r.face_id, r.name) for r in again.labels.collect()) == [("face_0", "ada"), ("face_1", "Cory")]
+    assert sorted((r.speaker_id, r.face_id) for r in again.mappings.collect()) == [("speaker_0", "face_0"), ("speaker_1", "face_1")]
 
 
 def test_landmark_input_numbers_faces_in_list_order(spark):
