@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import mixing
+from rollcall.llm import bpe, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,10 @@ j AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(whole * size + greatest(0, least(size, floor(target) - whole * source_size - ahead)) AS BIGINT) AS taken FROM j
 """
+
+
+@_query
+def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)

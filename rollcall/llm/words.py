@@ -91,3 +91,18 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
             yield batch.slice(first, last - first)
             first = last
 
+
+
+def hash_windows(raw: bytes, width: int) -> np.ndarray:
+    """Hash of every run of ``width`` bytes, in pieces of bounded size."""
+    out = []
+    for first in range(0, max(1, len(raw) - width + 1), PIECE_BYTES):
+        piece = np.frombuffer(raw[first : first + PIECE_BYTES + width - 1], np.uint8).astype(np.uint64)
+        if piece.size < width:
+            break
+        power, inverse = _powers(piece.size + 1)
+        sums = np.zeros(piece.size + 1, np.uint64)
+        np.cumsum((piece + np.uint64(1)) * power[: piece.size], out=sums[1:])
+        n = piece.size - width + 1
+        out.append(mix64((sums[width:] - sums[:n]) * inverse[:n]))
+    return np.concatenate([np.zeros(0, np.uint64), *out])
