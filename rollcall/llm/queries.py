@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, mixing
+from rollcall.llm import bpe, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,36 @@ def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(_table(spark, folder, "documents"))
+
+
+def _secrets_oracle() -> str:
+    """Every rule over every text, without an index: lengths between and of the matches, added up."""
+    stated = {"access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}  # the base kinds as given
+    parts = []
+    for rank, rule in enumerate(secrets.RULES):
+        pattern, group, shortest = stated.get(rule.kind, (rule.pattern, rule.group, rule.shortest))
+        pattern = pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT n, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'start': list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
+    'rank': {rank}, 'size': length(m[i]), 'kind': '{rule.kind}', 'ok': length(g[i]) >= {shortest}}}), lambda x: x.ok)) AS s
+  FROM (SELECT n, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS s FROM d)""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+p AS (SELECT n, s.kind AS kind, CAST(s.start AS BIGINT) AS b, s.rank AS r, s.kind || ':' || CAST(CAST(s.start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s.start + s.size AS BIGINT) AS VARCHAR) AS w FROM f),
+a AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(w, ',' ORDER BY b, r) FILTER (r < 3) AS base, string_agg(w, ',' ORDER BY b, r) AS spans
+  FROM p GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (n)
+"""
+
+
+ORACLES["op5_secret_scan"] = _secrets_oracle()
