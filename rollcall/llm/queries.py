@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, mixing, secrets
+from rollcall.llm import bpe, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ FROM d LEFT JOIN a USING (n)
 
 
 ORACLES["op5_secret_scan"] = _secrets_oracle()
+
+
+@_query
+def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
