@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, mixing, secrets, simhash
+from rollcall.llm import bpe, mixing, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,21 @@ ORACLES["op5_secret_scan"] = _secrets_oracle()
 @_query
 def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, folder, "documents"), with_text=False)
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT g.doc_id, list(i) AS lost FROM g JOIN m ON g.g = m.g AND m.least < g.doc_id GROUP BY g.doc_id),
+c AS (SELECT doc_id, list(DISTINCT k) AS cut FROM (SELECT doc_id, unnest(lost) AS i FROM r), unnest(range(i, i + 13)) AS u(k) GROUP BY doc_id),
+x AS (SELECT p.doc_id, string_agg(p.w[p.k], ' ' ORDER BY p.k) AS kept FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) p
+  LEFT JOIN (SELECT doc_id, unnest(cut) AS k FROM c) q ON p.doc_id = q.doc_id AND p.k = q.k WHERE q.k IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(c.cut), 0) AS BIGINT) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)
+"""

@@ -39,7 +39,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def _hash_piece(buffer: bytes) -> np.ndarray:
+def hash_piece(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a buffer in which single spaces separate them."""
     raw = np.frombuffer(buffer, np.uint8)
     cuts = np.flatnonzero(raw == 32)
     starts = np.concatenate(([0], cuts + 1))
@@ -47,7 +48,8 @@ def _hash_piece(buffer: bytes) -> np.ndarray:
     power, inverse = _powers(raw.size + 1)
     sums = np.zeros(raw.size + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: raw.size], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sizes = (ends - starts).astype(np.uint64)
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + sizes * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -58,10 +60,10 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     for i, word in enumerate(words):
         size += len(word) + 1
         if size >= PIECE_BYTES:
-            out.append(_hash_piece(b" ".join(words[first : i + 1])))
+            out.append(hash_piece(b" ".join(words[first : i + 1]))[0])
             first, size = i + 1, 0
     if first < len(words):
-        out.append(_hash_piece(b" ".join(words[first:])))
+        out.append(hash_piece(b" ".join(words[first:]))[0])
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
