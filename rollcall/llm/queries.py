@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, mixing, secrets, simhash, substrings
+from rollcall.llm import bpe, mixing, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,9 @@ x AS (SELECT p.doc_id, string_agg(p.w[p.k], ' ' ORDER BY p.k) AS kept FROM (SELE
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(c.cut), 0) AS BIGINT) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)
 """
+
+
+@_query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
