@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, mixing, quality, secrets, simhash, substrings
+from rollcall.llm import bpe, minhash, mixing, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
+
+
+@_query
+def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.edit_report(_table(spark, folder, "documents"))
