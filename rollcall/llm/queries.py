@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, minhash, mixing, quality, secrets, simhash, substrings
+from rollcall.llm import bpe, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,8 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.edit_report(_table(spark, folder, "documents"))
+
+
+@_query
+def op9_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, folder, "documents"))
