@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree
+from rollcall.llm import bpe, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op9_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(_table(spark, folder, "documents"))
+
+
+@_query
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
