@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree, urls
+from rollcall.llm import bpe, embeddings, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,8 @@ def op9_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"))
+
+
+@_query
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
