@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.shared import WORD, stored
+from rollcall.llm.shared import WORD, packed, stored, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -88,12 +88,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A part is the text up to its last taken word. Documents of which nothing is taken go. Documents without any word
     take nothing and go. Rows that share an id are told apart by their text; identical rows share one decision each.
     """
-    keyed = docs.withColumn("_id", F.xxhash64("doc_id", "text", "source"))
-    taken = mix(keyed.withColumn("doc_id", F.col("_id")), **options).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    passes = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
-    copies = keyed.join(taken.withColumnRenamed("doc_id", "_id"), "_id").withColumn("_pass", F.explode(F.sequence(F.lit(1), passes)))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_pass") - 1) * F.col("_size"))
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(words < F.col("_size"), F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(F.col("text"))
-    columns = [F.length(cut).cast("long").alias(c) if c == "n_chars" else cut.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return copies.select(*columns)
+    keyed = packed(docs).withColumn("id", F.xxhash64("doc.doc_id", "doc.text", "doc.source"))
+    own = keyed.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.source").alias("source"))
+    taken = mix(own, **options).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    copies = keyed.join(taken.withColumnRenamed("doc_id", "id"), "id").withColumn("pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("pass") - 1) * F.col("size"))
+    pieces = F.regexp_extract_all(F.col("doc.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(words < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(F.col("doc.text"))
+    changed = {"text": F.col("cut")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(words < F.col("size"), F.length("cut").cast("long")).otherwise(F.col("doc.n_chars"))
+    return unpacked(copies.withColumn("cut", cut), docs, **changed)

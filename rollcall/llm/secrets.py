@@ -9,6 +9,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.shared import packed, unpacked
+
 #: Documents whose postings lie in one row of the index, on average.
 SEGMENT_ROWS = 2048
 #: Largest number of spellings a piece of a regex is written out to.
@@ -130,19 +132,19 @@ def _item(name: str, value) -> tuple[set[str] | None, frozenset | None]:
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index: a row per segment of documents, a column ``t0, t1, ...`` per trigram with the rows that hold it.
 
-    ``docs`` has (_row, text). Trigrams are looked up in the lower-cased text; a segment is a hash range of ``_row``, so
+    ``docs`` has (row, text). Trigrams are looked up in the lower-cased text; a segment is a hash range of ``row``, so
     no posting list outgrows a segment however common its trigram is.
     """
     segments = max(1, -(-docs.count() // SEGMENT_ROWS))
-    lowered = docs.select("_row", F.lower("text").alias("_low"))
-    held = lowered.select("_row", *[F.contains("_low", F.lit(t)).alias(f"t{i}") for i, t in enumerate(trigrams)])
-    return held.groupBy(F.pmod("_row", F.lit(segments)).alias("_segment")).agg(
-        *[F.collect_list(F.when(F.col(f"t{i}"), F.col("_row"))).alias(f"t{i}") for i in range(len(trigrams))]
+    lowered = docs.select("row", F.lower("text").alias("_low"))
+    held = lowered.select("row", *[F.contains("_low", F.lit(t)).alias(f"t{i}") for i, t in enumerate(trigrams)])
+    return held.groupBy(F.pmod("row", F.lit(segments)).alias("_segment")).agg(
+        *[F.collect_list(F.when(F.col(f"t{i}"), F.col("row"))).alias(f"t{i}") for i in range(len(trigrams))]
     )
 
 
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Rows that may match indexed rules, as (_row, _rules array<string>): postings intersected and united per rule."""
+    """Rows that may match indexed rules, as (row, rules array<string>): postings intersected and united per rule."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     trigrams = sorted({t for q in queries.values() for c in q for t in c})
     index = postings(docs, trigrams)
@@ -158,8 +160,8 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
 
     hits = index.select(F.explode(F.array(*[
         F.struct(F.lit(kind).alias("kind"), rows_of(q).alias("rows")) for kind, q in queries.items()
-    ])).alias("hit")).select("hit.kind", F.explode("hit.rows").alias("_row"))
-    return hits.groupBy("_row").agg(F.collect_set("kind").alias("_rules"))
+    ])).alias("hit")).select("hit.kind", F.explode("hit.rows").alias("row"))
+    return hits.groupBy("row").agg(F.collect_set("kind").alias("rules"))
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -183,24 +185,24 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Finds secrets in every whole text: the columns of ``docs`` and ``_spans array<struct<start,rank,end,kind>>``.
+    """Finds secrets in every whole text: (doc, spans), the row as a struct and array<struct<start,rank,end,kind>>.
 
     Rules with mandatory trigrams are verified only in the rows that the index gives for them; rules without any run
     over every row. Rows meet their candidates by a hash of id and text, which need not be unique: it only decides
-    where to look. Null text counts as empty and has no spans; null ids and repeated rows are kept; spans of different
-    kinds may overlap and come by start, then in the order of the rules. Columns of ``docs`` must not start with ``_``
-    plus the names used here (_row, _rules, _spans); an empty table gives no rows.
+    where to look. Null text counts as empty and has no spans; null ids and repeated rows are kept; other columns pass
+    through whatever their names; spans of different kinds may overlap and come by start, then in the order of the
+    rules. An empty table gives no rows.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    rows = packed(docs).withColumn("row", F.xxhash64("doc.doc_id", "doc.text"))
     indexed = {r.kind for r in rules if trigram_query(r.pattern) is not None}
-    found = rows.join(candidates(rows.select("_row", "text"), rules), "_row", "left") if indexed else rows
+    found = rows.join(candidates(rows.select("row", F.col("doc.text").alias("text")), rules), "row", "left") if indexed else rows
     none = F.from_json(F.lit("[]"), "array<struct<start:int,rank:int,end:int,kind:string>>")
     each = []
     for rank, rule in enumerate(rules):
         spans = spans_of(text, rule, rank)
-        each.append(F.when(F.array_contains("_rules", rule.kind), spans).otherwise(none) if rule.kind in indexed else spans)
-    return found.select(*[F.col(c) for c in docs.columns], F.array_sort(F.concat(*each)).alias("_spans"))
+        each.append(F.when(F.array_contains("rules", rule.kind), spans).otherwise(none) if rule.kind in indexed else spans)
+    return found.select("doc", F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -214,10 +216,10 @@ def _equals(value: str):
 
 def report(docs: DataFrame, rules=RULES) -> DataFrame:
     """Counts and spans per document: (doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
-    spans = F.col("_spans")
+    spans = F.col("spans")
     base = [r.kind for r in BASE]
     return scan(docs.select("doc_id", "text"), rules).select(
-        "doc_id",
+        F.col("doc.doc_id").alias("doc_id"),
         *[F.size(F.filter(F.transform(spans, lambda s: s.kind), _equals(kind))).cast("long").alias(f"n_{kind}") for kind in base],
         F.sha2(written(F.filter(spans, lambda s: s.kind.isin(base))), 256).alias("base_sha256"),
         written(spans).alias("spans"),
@@ -229,17 +231,17 @@ def masked(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
 
     Rows without spans, null texts among them, are unchanged.
     """
+    text = F.col("doc.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state.at + 1, s.start - state.at)
+        gap = F.substring(text, state.at + 1, s.start - state.at)
         return F.when(s.start >= state.at, F.struct(s.end.alias("at"), F.concat(state.out, gap, F.lit(mask)).alias("out"))).otherwise(
             F.struct(F.greatest(state.at, s.end).alias("at"), state.out.alias("out")))
 
-    rest = lambda state: F.concat(state.out, F.substring(F.col("text"), state.at + 1, F.length("text")))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col("text"))
-    hidden = scan(docs, rules).withColumn("_text", text)
-    return hidden.select(*[
-        F.col("_text").alias(c) if c == "text" else F.when(F.size("_spans") > 0, F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns
-    ])
+    rest = lambda state: F.concat(state.out, F.substring(text, state.at + 1, F.length(text)))
+    hidden = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(text)
+    changed = {"text": F.col("hidden")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("hidden").cast("long")).otherwise(F.col("doc.n_chars"))
+    return unpacked(scan(docs, rules).withColumn("hidden", hidden), docs, **changed)

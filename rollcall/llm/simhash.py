@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.shared import components, partitions, stored
+from rollcall.llm.shared import components, packed, partitions, stored, unpacked
 from rollcall.llm.words import by_bytes
 
 BITS = 64
@@ -201,13 +201,14 @@ def deduplicated(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bu
 
     Of rows that share that id the one with the smallest text stays, once; a group without ids keeps one row the same way.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    prints = stored(fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "_row").join(
-        keyed.select("_row", "doc_id").distinct(), "_row"))
+    keyed = packed(docs).withColumn("row", F.xxhash64("doc.doc_id", "doc.text"))
+    texts = keyed.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").alias("text"))
+    prints = stored(fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "row").join(
+        texts.select("row", F.col("id").alias("doc_id")).distinct(), "row"))
     group = groups(prints.select("doc_id", "print"), radius, bucket).select("print", "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = prints.join(group, "print").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("print"))).agg(first.alias("f")).select("f._row")
-    stay = keyed.join(kept, "_row", "left_semi")
-    if prints.groupBy("_row").count().where("count > 1").isEmpty():
-        return stay.select(*docs.columns)
-    return stay.dropDuplicates(["_row"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = prints.join(group, "print").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("print"))).agg(first.alias("f")).select("f.row")
+    stay = keyed.join(kept, "row", "left_semi")
+    if not prints.groupBy("row").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["row"])
+    return unpacked(stay, docs)
