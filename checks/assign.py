@@ -190,15 +190,15 @@ def _(t):
     )
 
 
-# Stored pictures: one per second event, and the cluster pictures of three faces.
+# Stored pictures: one per event, and the cluster pictures of three faces.
 THUMBS = """thumb AS (SELECT job_id, 'intro/' || event_id || '.jpg' AS path, (event_id * 37) % 1300 AS width, (event_id * 53) % 800 AS height,
-    (event_id * 7) % 60 + 0.0E0 AS brightness FROM event_v WHERE event_id % 2 = 0
+    (event_id * 7) % 60 + 0.0E0 AS brightness FROM event_v
   UNION ALL SELECT DISTINCT job_id, 'face_thumbnails/' || cluster_id || '.jpg', 200, 200, 90.0E0 FROM obs_v WHERE cluster_id IN ('face_0', 'face_1', 'face_2')),
 usable AS (SELECT job_id, path FROM thumb WHERE NOT (width > 900 AND height > 500) AND brightness >= 20 AND greatest(width, height) >= 80)"""
 
 
 def thumbnails(t):
-    own = t.event.filter("event_id % 2 = 0").selectExpr(
+    own = t.event.selectExpr(
         "job_id", "concat('intro/', event_id, '.jpg') AS path", "(event_id * 37) % 1300 AS width", "(event_id * 53) % 800 AS height",
         "CAST((event_id * 7) % 60 AS DOUBLE) AS brightness",
     )

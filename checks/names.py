@@ -165,7 +165,7 @@ SPELL_SQL = f"WITH spell_v AS ({_spell('array_to_string', 'string_split')})"
 
 def spelled(t):
     t.table("part").createOrReplaceTempView("part")
-    return t.spark.sql(_spell("array_join", "split"))
+    return t.sql(_spell("array_join", "split"))
 
 
 def squeeze_sql(x: str) -> str:
@@ -265,7 +265,7 @@ NAME_PAIRS = "SELECT p.p_partkey, s.s_suppkey, split_part(p.p_name, ' ', 1) AS a
 @query("t12_spelling_relates", f"WITH n AS ({NAME_PAIRS}) SELECT p_partkey, s_suppkey, {relates_sql('a', 'b')} AS related FROM n")
 def _(t):
     t.table("supplier").createOrReplaceTempView("supplier")
-    return t.spark.sql(NAME_PAIRS).select("p_partkey", "s_suppkey", tx.relates(F.col("a"), F.col("b")).alias("related"))
+    return t.sql(NAME_PAIRS).select("p_partkey", "s_suppkey", tx.relates(F.col("a"), F.col("b")).alias("related"))
 
 
 @query("t13_best_spelling", DETAILS + " SELECT p_partkey, offered, borrowed FROM d4")
@@ -310,7 +310,7 @@ def _(t):
 
 STORED = """stored AS (SELECT job_id, seg_idx, source_video, start_s + 0.35 AS ts_s, text AS transcript,
   CASE seg_idx % 3 WHEN 0 THEN 'Cory' WHEN 1 THEN 'Rory Ann' ELSE 'red' END AS name,
-  CASE seg_idx % 5 WHEN 0 THEN 'Kory' WHEN 1 THEN '' END AS name_heard FROM text_v WHERE seg_idx % 2 = 0)"""
+  CASE seg_idx % 5 WHEN 0 THEN 'Kory' WHEN 1 THEN '' END AS name_heard FROM text_v)"""
 ENRICH = HEARD + ",\n" + STORED + """,
 based AS (SELECT s.*, coalesce(h.name, s.name) AS base FROM stored s LEFT JOIN (SELECT job_id, seg_idx, name FROM heard WHERE name_idx = 0) h
   ON h.job_id = s.job_id AND h.seg_idx = s.seg_idx),
@@ -318,9 +318,8 @@ based AS (SELECT s.*, coalesce(h.name, s.name) AS base FROM stored s LEFT JOIN (
 
 
 def stored(t):
-    even = t.text.filter("seg_idx % 2 = 0")
     seg = F.col("seg_idx")
-    return even.select(
+    return t.text.select(
         "job_id", "seg_idx", "source_video", (F.col("start") + 0.35).alias("timestamp"), F.col("text").alias("transcript"),
         F.when(seg % 3 == 0, "Cory").when(seg % 3 == 1, "Rory Ann").otherwise("red").alias("name"),
         F.when(seg % 5 == 0, "Kory").when(seg % 5 == 1, "").alias("name_heard"), F.lit("").alias("context_transcript"),

@@ -5,6 +5,8 @@ The same text runs in Spark and in DuckDB, so each oracle puts the views it need
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -16,7 +18,7 @@ SELECT 'job_' || CAST(day(e.ts) AS STRING) AS job_id, e.event_id AS obs_id,
   (e.user_id % 5) * 380 + e.event_id % 7 + 180 AS x2, 520 + e.event_id % 5 AS y2,
   m.embedding AS embedding, e.value / 10000 AS lip_openness,
   CASE WHEN e.event_id % 11 = 0 THEN '' ELSE 'face_' || CAST(e.user_id % 5 AS STRING) END AS cluster_id
-FROM events e JOIN embeddings m ON m.vec_id = e.event_id % 500
+FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS v FROM events) e JOIN embeddings m ON m.vec_id = e.v
 """,
     "seg_v": """
 SELECT 'job_' || CAST(d AS STRING) AS job_id, i AS seg_idx,
@@ -27,12 +29,12 @@ FROM (SELECT DISTINCT day(ts) AS d, event_id % 60 AS i FROM events) q
     "label_v": """
 SELECT 'job_' || CAST(q.d AS STRING) AS job_id, 'face_' || CAST(n.n_nationkey AS STRING) AS face_id,
   CASE WHEN n.n_nationkey = 3 THEN '' ELSE n.n_name END AS name
-FROM (SELECT DISTINCT day(ts) AS d FROM events) q CROSS JOIN nation n WHERE n.n_nationkey < 4
+FROM (SELECT DISTINCT day(ts) AS d FROM events) q JOIN nation n ON n.n_nationkey * 0 = q.d * 0
 """,
     "voice_v": """
 SELECT 'job_' || CAST(d AS STRING) AS job_id, i AS win_idx, 0.75E0 * (i + 1) AS ts_s,
   CASE WHEN i % 13 = 5 THEN 2 ELSE CAST(floor(i / (3.0 + d % 3)) AS INT) % 3 END AS label, vec_id
-FROM (SELECT day(ts) AS d, event_id % 500 AS vec_id,
+FROM (SELECT day(ts) AS d, event_id % (SELECT count(*) FROM embeddings) AS vec_id,
         row_number() OVER (PARTITION BY day(ts) ORDER BY event_id) - 1 AS i FROM events) q
 """,
     "frame_v": """
@@ -47,13 +49,13 @@ SELECT 'conv_' || CAST(c.conv_id AS STRING) AS job_id, c.turn AS seg_idx, c.role
   CASE (c.turn + c.conv_id) % 8
     WHEN 0 THEN 'Hi, I''m ' || split_part(p.p_name, ' ', 1) || ' and I''m from ' || r.r_name || '.'
     WHEN 1 THEN 'My name is ' || p.p_name || '. ' || c.text
-    WHEN 2 THEN 'It is C-O-R-Y with a K, pronounced as ' || split_part(p.p_name, ' ', 1)
+    WHEN 2 THEN 'It is C-O-R-Y with a K, pronounced as ' || split_part(p.p_name, ' ', 1) || '. ' || c.text
     WHEN 3 THEN c.text
-    WHEN 4 THEN 'This is ' || split_part(p.p_name, ' ', 2) || '. Call me ' || split_part(p.p_name, ' ', 1)
-    WHEN 5 THEN split_part(p.p_name, ' ', 1) || ' and I''m from the coast but raised inland.'
-    WHEN 6 THEN 'I''m ' || split_part(p.p_name, ' ', 1) || ' and I''m very glad'
-    ELSE 'So here we are' END AS text
-FROM conversations c JOIN part p ON p.p_partkey = (c.conv_id * 7 + c.turn) % 200
+    WHEN 4 THEN 'This is ' || split_part(p.p_name, ' ', 2) || '. Call me ' || split_part(p.p_name, ' ', 1) || '. ' || c.text
+    WHEN 5 THEN split_part(p.p_name, ' ', 1) || ' and I''m from the coast but raised inland. ' || c.text
+    WHEN 6 THEN 'I''m ' || split_part(p.p_name, ' ', 1) || ' and I''m very glad. ' || c.text
+    ELSE 'So here we are. ' || c.text END AS text
+FROM (SELECT *, (conv_id * 7 + turn) % (SELECT count(*) FROM part) AS v FROM conversations) c JOIN part p ON p.p_partkey = c.v
 JOIN region r ON r.r_regionkey = c.conv_id % 5
 """,
     "event_v": """
@@ -62,7 +64,7 @@ SELECT 'job_' || CAST(day(e.ts) AS STRING) AS job_id, e.event_id AS event_id,
   CAST(e.event_id % 100 AS DOUBLE) + 0.35E0 AS ts_s, 25.0E0 + e.user_id % 4 * 5 AS confidence,
   CASE WHEN e.event_id % 3 = 0 THEN '' ELSE 'face_' || CAST(e.user_id % 5 AS STRING) END AS face_id,
   CASE WHEN e.event_id % 4 = 0 THEN 0.0E0 ELSE e.value END AS lip_score
-FROM events e JOIN part p ON p.p_partkey = e.user_id % 200 WHERE e.event_type = 'signup'
+FROM (SELECT *, (user_id * 13 + event_id) % (SELECT count(*) FROM part) AS v FROM events) e JOIN part p ON p.p_partkey = e.v
 """,
 }
 
@@ -87,14 +89,22 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+
+    def _register(self, text: str) -> None:
+        """Opens the tables that a text names, and no others."""
         for table in TABLES:
-            spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
+            if re.search(rf"\b{table}\b", text):
+                self.table(table).createOrReplaceTempView(table)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def sql(self, text: str) -> DataFrame:
+        self._register(text)
+        return self.spark.sql(text)
+
     def raw(self, view: str) -> DataFrame:
-        return self.spark.sql(VIEWS[view])
+        return self.sql(VIEWS[view])
 
     def __getattr__(self, name: str) -> DataFrame:
         view = f"{name}_v"
