@@ -332,15 +332,20 @@ def _(t):
     return names.enrich_detections(stored(t)).select("job_id", "seg_idx", "name", *DETAIL_COLUMNS)
 
 
+def talk_clips(t):
+    """What the user says is the main clip of a conversation."""
+    return t.text.select("job_id", "source_video", (F.col("source_video") == "user").alias("is_main")).distinct()
+
+
 BOUNDED = """,
 nx AS (SELECT job_id, ts_s, lead(ts_s) OVER (PARTITION BY job_id ORDER BY ts_s) AS next_s FROM (SELECT DISTINCT job_id, ts_s FROM stored) q),
 bctx AS (SELECT job_id, ts_s, string_agg(text, ' ' ORDER BY first_s) AS context FROM (SELECT n.job_id, n.ts_s, s.text, min(s.start_s) AS first_s
-  FROM nx n JOIN text_v s ON s.job_id = n.job_id AND s.start_s BETWEEN n.ts_s - 2 AND least(n.ts_s + 12, n.next_s - 0.5) GROUP BY ALL) g GROUP BY ALL)"""
+  FROM nx n JOIN text_v s ON s.job_id = n.job_id AND s.source_video = 'user' AND s.start_s BETWEEN n.ts_s - 2 AND least(n.ts_s + 12, n.next_s - 0.5) GROUP BY ALL) g GROUP BY ALL)"""
 
 
 @query("t7_bounded_context", HEARD + ",\n" + STORED + BOUNDED + " SELECT * FROM bctx")
 def _(t):
-    return names.bounded_contexts(stored(t), t.text).select(
+    return names.bounded_contexts(stored(t), t.text, talk_clips(t)).select(
         "job_id", F.col("timestamp").alias("ts_s"), F.col("context_transcript").alias("context")
     )
 
@@ -355,4 +360,4 @@ based AS (SELECT s.*, coalesce(h.name, nullif(s.name_heard, ''), s.name) AS base
 @query("t20_refresh_details", REFRESH + """ SELECT job_id, seg_idx, display_name AS name, location, name_spelling, spelling_note,
   pronunciation, coalesce(name_heard, earlier) AS name_heard FROM d7""")
 def _(t):
-    return names.refresh_details(stored(t), t.text).select("job_id", "seg_idx", "name", *DETAIL_COLUMNS)
+    return names.refresh_details(stored(t), t.text, talk_clips(t)).select("job_id", "seg_idx", "name", *DETAIL_COLUMNS)

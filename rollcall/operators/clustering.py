@@ -68,7 +68,7 @@ def k_cluster_voices(windows: DataFrame, counts: DataFrame, max_k: int, rounds:
     points = prepare_points(windows.select(
         "job_id", F.col("win_idx").cast("long").alias("point_id"), F.col("embedding").cast("array<double>").alias("vector")
     ))
-    first = points.filter("point_id = 0").select("job_id", F.lit(0).alias("label"), "vector")
+    first = points.groupBy("job_id").agg(F.min_by("vector", "point_id").alias("vector")).select("job_id", F.lit(0).alias("label"), "vector")
     seeds = farthest_first(points, first, counts.select("job_id", "k"), max_k - 1)
     return kmeans(points, seeds, rounds).withColumnRenamed("point_id", "win_idx")
 

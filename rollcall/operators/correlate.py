@@ -11,11 +11,15 @@ SEGMENT_SLOT_S = 4.0
 TIE_DIGITS = 12  # scores closer than this are ties, whatever the order of summation
 
 
-def segment_observations(observations: DataFrame, segments: DataFrame, main_only: str | None = None) -> DataFrame:
-    """Clustered observations inside each closed speaker segment. ``main_only`` keeps one clip's faces."""
+def segment_observations(observations: DataFrame, segments: DataFrame, main_only: DataFrame | None = None) -> DataFrame:
+    """Clustered observations inside each closed speaker segment.
+
+    ``main_only`` is the clip table (job_id, source_video, is_main): only faces of each job's main clip count then.
+    """
     faces = observations.filter(F.col("cluster_id") != "")
     if main_only is not None:
-        faces = faces.filter(F.col("source_video") == main_only)
+        main = main_only.filter("is_main").select("job_id", "source_video")
+        faces = faces.join(main, ["job_id", "source_video"], "left_semi")
     faces = faces.select("job_id", "obs_id", "timestamp", "cluster_id", "lip_openness")
     spans = segments.select("job_id", "seg_idx", "speaker_id", "start", "end")
     return interval_join(faces, spans, ["job_id"], "timestamp", "start", "end", SEGMENT_SLOT_S, spread=["obs_id"])
@@ -57,7 +61,7 @@ def speaker_face_mappings(ballots: DataFrame) -> DataFrame:
     )
 
 
-def correlate(observations: DataFrame, segments: DataFrame, main_only: str | None = None) -> DataFrame:
+def correlate(observations: DataFrame, segments: DataFrame, main_only: DataFrame | None = None) -> DataFrame:
     """J1 to J5 in one plan."""
     pairs = segment_observations(observations, segments, main_only)
     return speaker_face_mappings(votes(best_face(lip_activity(pairs))))

@@ -56,7 +56,9 @@ def farthest_first(points: DataFrame, first: DataFrame, k: DataFrame, rounds: in
         F.transform(
             F.array_sort(F.collect_list(F.struct("label", "vector"))), lambda s: s["vector"].cast("array<double>")
         ).alias("seeds")
-    ).join(k.select("job_id", F.col("k").cast("long").alias("k")), "job_id")
+    ).join(k.select("job_id", F.col("k").cast("long").alias("k")), "job_id", "left").withColumn(
+        "k", F.coalesce("k", F.lit(1).cast("long"))  # a job without a count keeps its first seed
+    )
     for _ in range(rounds):
         candidates = points.groupBy(*BLOCK).cogroup(_on_blocks(seeds, blocks).groupBy(*BLOCK)).applyInPandas(
             farthest, schema

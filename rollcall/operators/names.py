@@ -21,9 +21,14 @@ CLIP = ["job_id", "source_video"]
 
 
 def clean_segments(segments: DataFrame, limit: str | None = None) -> DataFrame:
-    """Trimmed, non-empty transcript segments that start within the scan limit column."""
+    """Trimmed, non-empty transcript segments that start within the scan limit column.
+
+    A clip whose length is unknown (null, zero or less) has no limit.
+    """
     kept = segments.withColumn("text", tx.strip(F.col("text"))).filter(F.col("text") != "")
-    return kept.filter(F.col("start") <= F.col(limit)) if limit else kept
+    if limit is None:
+        return kept
+    return kept.filter(F.col(limit).isNull() | (F.col(limit) <= 0) | (F.col("start") <= F.col(limit)))
 
 
 def context_texts(segments: DataFrame, windows: DataFrame, on: list[str], ids: list[str], out: str) -> DataFrame:
@@ -139,8 +144,13 @@ def enrich_detections(detections: DataFrame, base: str = "transcript") -> DataFr
     )
 
 
-def bounded_contexts(detections: DataFrame, segments: DataFrame) -> DataFrame:
-    """Text around each distinct detection time, ending half a second before the next detection."""
+def main_segments(segments: DataFrame, clips: DataFrame) -> DataFrame:
+    """Segments of each job's main clip; ``clips`` has job_id, source_video and is_main."""
+    return segments.join(clips.filter("is_main").select("job_id", "source_video"), CLIP, "left_semi")
+
+
+def bounded_contexts(detections: DataFrame, segments: DataFrame, clips: DataFrame) -> DataFrame:
+    """Text of the main clip around each distinct detection time, ending half a second before the next detection."""
     times = detections.select("job_id", "timestamp").distinct()
     chunk = F.floor(F.col("timestamp") / 600.0)
     ahead = following(times, ["job_id"], "timestamp", chunk, "timestamp", "_next")
@@ -149,12 +159,12 @@ def bounded_contexts(detections: DataFrame, segments: DataFrame) -> DataFrame:
         "job_id", "timestamp", (F.col("timestamp") - CONTEXT_BEFORE_S).alias("_from"),
         F.least(end, F.col("_next") - NEXT_INTRO_GAP_S).alias("_to"),
     )
-    return context_texts(segments, windows, ["job_id"], ["timestamp"], "context_transcript")
+    return context_texts(main_segments(segments, clips), windows, ["job_id"], ["timestamp"], "context_transcript")
 
 
-def refresh_details(detections: DataFrame, segments: DataFrame) -> DataFrame:
+def refresh_details(detections: DataFrame, segments: DataFrame, clips: DataFrame) -> DataFrame:
     """Bounded context, base name from the transcript, then the earlier heard name, then the name."""
-    contexts = bounded_contexts(detections, segments)
+    contexts = bounded_contexts(detections, segments, clips)
     stored = detections.drop("context_transcript").join(contexts, ["job_id", "timestamp"], "left")
     heard = F.nullif(F.coalesce("name_heard", F.lit("")), F.lit(""))
     return enrich_detections(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollcall.session import chunk_rows
+from rollcall.session import chunk_rows, cut_lineage
 
 
 def with_halo(df: DataFrame, index: str, halo: int) -> DataFrame:
@@ -45,6 +45,27 @@ def number_rows(df: DataFrame, keys: Sequence[str], index: str, out: str, first:
     )
 
 
+def number_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, first: int = 0) -> DataFrame:
+    """Gapless numbers per key in the order of any columns.
+
+    Rows are dealt into ranges of key and order and written once, so a hot key spreads over many ranges; a running sum
+    over the ranges of a key gives each range its start. Rows that agree in all order columns get numbers in any order.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    cut = cut_lineage(ranged)
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    ).drop("_n")
+    local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    return (
+        cut.withColumn("_local", local)
+        .join(starts, [*keys, "_range"])
+        .withColumn(out, (F.col("_local") + F.col("_before") + F.lit(first - 1)).cast("long"))
+        .drop("_local", "_before", "_range")
+    )
+
+
 def following(df: DataFrame, keys: Sequence[str], order: str, chunk: Column, value: str, out: str) -> DataFrame:
     """Value of the next row per key in the order of ``order``; ``chunk`` must be monotone in ``order``."""
     cut = df.withColumn("_chunk", chunk)

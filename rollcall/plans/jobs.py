@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.operators import assign, clips, clustering, correlate, names, report, sampling, screengrab, vectors, voices
+from rollcall.operators.joins import join_facts
+from rollcall.operators.ordered import number_sorted
 from rollcall.session import cut_lineage
 from rollcall.sources import sinks
 
@@ -45,14 +47,11 @@ class Results:
 
 
 def number_observations(faces: DataFrame, clip_table: DataFrame) -> DataFrame:
-    """obs_id in list order (clip, pass, time, face) packed into one long, without a sort.
-
-    Room: 8,191 clips, 3 passes, 10 days of milliseconds and 4,095 faces per frame.
-    """
-    placed = faces.join(clip_table.select("job_id", "source_video", "clip_idx"), ["job_id", "source_video"])
-    millis = F.round(F.col("timestamp") * 1000).cast("long")
-    packed = ((F.col("clip_idx").cast("long") * 4 + F.col("pass")) * (1 << 30) + millis) * (1 << 12) + F.col("face_idx")
-    return placed.withColumn("obs_id", packed).drop("clip_idx", "pass", "face_idx")
+    """obs_id in list order: clip, pass, time, face; without gaps from 0 per job."""
+    order = clip_table.select("job_id", "source_video", "clip_idx")
+    placed = join_facts(faces, order, ["job_id", "source_video"], spread=["timestamp", "face_idx"])
+    numbered = number_sorted(placed, ["job_id"], ["clip_idx", "pass", "timestamp", "face_idx"], "obs_id")
+    return numbered.drop("clip_idx", "pass", "face_idx")
 
 
 def speak(windows: DataFrame, people: DataFrame, max_speakers: int, most_people: int) -> DataFrame:
@@ -68,10 +67,9 @@ def name_faces(
 ) -> tuple[DataFrame, DataFrame]:
     """Detections and labels: T1 to T8, then A1 to A10."""
     order = clip_table.select("job_id", "source_video", "clip_idx", "duration_s")
-    placed = names.clean_segments(segments.join(order, ["job_id", "source_video"]), "duration_s")
+    placed = names.clean_segments(join_facts(segments, order, ["job_id", "source_video"], spread=["seg_idx"]), "duration_s")
     kept = names.keep_best_repeats(cut_lineage(names.name_events(placed)))
-    packed = (F.col("event_ord.clip_idx").cast("long") * (1 << 32) + F.col("event_ord.seg_idx")) * (1 << 12) + F.col("event_ord.name_idx")
-    events = cut_lineage(kept.withColumn("event_id", packed).withColumn(
+    events = cut_lineage(number_sorted(kept, ["job_id"], ["event_ord"], "event_id").withColumn(
         "event_ord", F.struct("timestamp", (-F.col("confidence")).alias("low"), "event_id")
     ))
     matched = vectors.nearest_cluster(observations, vectors.centroids(observations))
@@ -81,10 +79,7 @@ def name_faces(
     assigned = assign.assign_faces(events, ranked, captures)
     known = observations.filter(F.col("cluster_id") != "").select("job_id").distinct()
     records = assign.detection_records(events.join(known, "job_id", "left_semi"), assigned)
-    millis = F.round(F.col("timestamp") * 1000).cast("long")
-    ordered = records.withColumn(
-        "ord", (millis * (1 << 16) + (F.floor(F.col("event_id") / (1 << 44)) % 256) * 256 + F.col("event_id") % 256)
-    )
+    ordered = number_sorted(records, ["job_id"], ["event_ord"], "ord")
     return ordered, assign.face_labels(events, assigned)
 
 

@@ -20,14 +20,19 @@ def _job_of(path: Column) -> Column:
 
 
 def _read(spark: SparkSession, base: str, name: str, schema: DataType) -> DataFrame:
-    """(job_id, doc) for every ``<base>/<job>/<name>``; no file gives no rows."""
+    """(job_id, doc) for every ``<base>/<job>/<name>``; no file gives no rows, a malformed one ends the read with its error."""
     try:
         texts = spark.read.text(f"{base}/*/{name}", wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], StructType().add("job_id", "string").add("doc", schema))
-    return texts.select(_job_of(F.col("_metadata.file_path")).alias("job_id"), F.from_json("value", schema).alias("doc"))
+    return parse(texts.select(_job_of(F.col("_metadata.file_path")).alias("job_id"), "value"), schema)
+
+
+def parse(texts: DataFrame, schema: DataType) -> DataFrame:
+    """(job_id, doc) from document texts (job_id, value)."""
+    return texts.select("job_id", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("doc"))
 
 
 def _box(values: Column) -> Column:

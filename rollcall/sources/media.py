@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollcall.operators.ordered import number_rows
+from rollcall.operators.ordered import number_rows, number_sorted
 from rollcall.operators.sampling import VIDEO_SUFFIXES, path_suffix
 
 
@@ -22,21 +21,8 @@ def video_files(listing: DataFrame) -> DataFrame:
 
 
 def number_clips(listing: DataFrame) -> DataFrame:
-    """clip_idx in path order per job.
-
-    Files are counted per first-letters bucket of the path, so numbering needs one bucket in a task.
-    """
-    keyed = listing.withColumn("_folder", F.regexp_extract("path", "^(.*/)", 1)).withColumn(
-        "_bucket", F.substring("path", F.lit(1), F.length("_folder") + 2)
-    )
-    order = W.partitionBy("job_id").orderBy("_bucket")
-    before = keyed.groupBy("job_id", "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.sum("_n").over(order) - F.col("_n")
-    )
-    local = F.row_number().over(W.partitionBy("job_id", "_bucket").orderBy("path"))
-    return keyed.withColumn("_local", local).join(before.drop("_n"), ["job_id", "_bucket"]).withColumn(
-        "clip_idx", (F.col("_local") + F.col("_before") - 1).cast("int")
-    ).drop("_folder", "_bucket", "_local", "_before")
+    """clip_idx in path order per job, from 0."""
+    return number_sorted(listing, ["job_id"], ["path"], "clip_idx").withColumn("clip_idx", F.col("clip_idx").cast("int"))
 
 
 def clip_manifest(main: DataFrame, extras: DataFrame) -> DataFrame:

@@ -191,12 +191,19 @@ def screengrab_labels(faces: DataFrame, labels: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def screengrab_document(faces: DataFrame, labels: DataFrame, clips: DataFrame) -> DataFrame:
-    """K9: one metadata object per job; the image itself is not drawn."""
-    shown = screengrab_labels(faces, labels).groupBy("job_id", "timestamp", "timestamp_tc").agg(
+def screengrab_document(faces: DataFrame, labels: DataFrame, clips: DataFrame, chosen: DataFrame) -> DataFrame:
+    """K9: one metadata object per job of ``chosen`` (job_id, chosen_ts), with empty labels where no face is near.
+
+    The image itself is not drawn.
+    """
+    shown = screengrab_labels(faces, labels).groupBy("job_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("face_id", "label")))).alias("labels")
     )
     main = clips.filter("is_main").select("job_id", F.col("source_video").alias("video"))
-    return shown.join(main, "job_id").select(
-        "job_id", F.to_json(F.struct("video", "timestamp", "timestamp_tc", "labels")).alias("line")
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return chosen.join(shown, "job_id", "left").join(main, "job_id", "left").select(
+        "job_id", F.to_json(F.struct(
+            "video", F.col("chosen_ts").alias("timestamp"), long_timecode(F.col("chosen_ts")).alias("timestamp_tc"),
+            F.coalesce("labels", none).alias("labels"),
+        )).alias("line")
     )

@@ -112,7 +112,9 @@ def test_speaker_evidence(spark):
     labels = spark.createDataFrame([("j", "face_1", "")], "job_id string, face_id string, name string")
     got = correlate.apply_labels(thirds, labels).orderBy("seg_idx").collect()
     assert [(r.seg_idx, r.name) for r in got] == [(0, ""), (1, ""), (2, ""), (4, "")]
-    assert correlate.segment_observations(obs.withColumn("source_video", F.lit("x")), segments, main_only="m").count() == 0
+    clips = spark.createDataFrame([("j", "m", True), ("j", "x", False)], "job_id string, source_video string, is_main boolean")
+    assert correlate.segment_observations(obs.withColumn("source_video", F.lit("x")), segments, main_only=clips).count() == 0
+    assert correlate.segment_observations(obs.withColumn("source_video", F.lit("m")), segments, main_only=clips).count() > 0
 
 
 def test_best_frame_without_faces(spark):

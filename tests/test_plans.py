@@ -125,5 +125,6 @@ def test_query_matches_oracle(spark, name):
 
 
 def test_every_query_but_three_has_an_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"c3_k_cluster_faces", "c12_recluster_faces", "v3_k_cluster_voices"}
+    own = {name for name in entry.queries() if not name.startswith("op") and name != "pipeline"}
+    assert own - set(entry.oracle_sql()) == {"c3_k_cluster_faces", "c12_recluster_faces", "v3_k_cluster_voices"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
