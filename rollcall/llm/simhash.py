@@ -199,15 +199,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 def deduplicated(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """The documents with one of each group, the one with the smallest id, and the columns of ``docs``.
 
-    Of rows that share that id the one with the smallest text stays, once; a group without ids keeps one row the same way.
+    Of rows that share that id one stays, chosen by a hash of its text; a group without any id keeps one row per fingerprint.
     """
     keyed = packed(docs).withColumn("row", F.xxhash64("doc.doc_id", "doc.text"))
     texts = keyed.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").alias("text"))
     prints = stored(fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "row").join(
         texts.select("row", F.col("id").alias("doc_id")).distinct(), "row"))
-    group = groups(prints.select("doc_id", "print"), radius, bucket).select("print", "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    kept = prints.join(group, "print").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("print"))).agg(first.alias("f")).select("f.row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("f")
+    of_print = stored(prints.groupBy("print").agg(first))  # one row per print before anything meets on it
+    group = groups(of_print.select("f.doc_id", "print"), radius, bucket).select("print", "component_id")
+    alone = F.when(F.col("component_id").isNull(), F.col("print"))
+    kept = of_print.join(group, "print").groupBy("component_id", alone).agg(F.min("f").alias("f")).select("f.row")
     stay = keyed.join(kept, "row", "left_semi")
     if not prints.groupBy("row").count().where("count > 1").isEmpty():
         stay = stay.dropDuplicates(["row"])
