@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from checks.names import HEARD, STORED, details_cte, stored
 from checks.registry import query
-from checks.speakers import J6, SEG
+from checks.speakers import J6, R2, SEG, sheet
 from checks.views import with_views
-from rollcall.operators import correlate, names, report
-from rollcall.sources import sinks
+from rollcall import schemas
+from rollcall.operators import clustering, correlate, names, report
+from rollcall.sources import documents, sinks
 
-# Detections: T19 rows of every second segment, with some columns missing on purpose.
+# Detections: T19 rows of every segment, with some columns missing on purpose.
 DETECTED = HEARD + ",\n" + STORED + """,
 based AS (SELECT s.*, coalesce(h.name, s.name) AS base FROM stored s LEFT JOIN (SELECT job_id, seg_idx, name FROM heard WHERE name_idx = 0) h
   ON h.job_id = s.job_id AND h.seg_idx = s.seg_idx),
@@ -88,3 +89,89 @@ def _(t):
   FROM label_v GROUP BY job_id""")
 def _(t):
     return sinks.labels_document(t.label)
+
+
+def parsed(lines, schema):
+    """Documents of the given lines, put together per job and read again."""
+    parts = F.array_sort(F.collect_list(F.struct("section", "ord", "line")))
+    return documents.parse(lines.groupBy("job_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("value")), schema)
+
+
+@query("s5_speaker_segments", SEG + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) - 1 AS seg_idx, speaker_id, start_s, end_s FROM seg_v""")
+def _(t):
+    lines = sinks.speakers_document(t.seg, t.seg.select("job_id").distinct())
+    return documents.speaker_segments(parsed(lines, schemas.SPEAKERS_DOC)).withColumnsRenamed({"start": "start_s", "end": "end_s"})
+
+
+def correlation_docs(t):
+    mapped = correlate.correlate(t.obs, t.seg)
+    lines = sinks.correlation_document(mapped, correlate.lower_thirds(t.seg, mapped), t.seg.select("job_id").distinct())
+    return parsed(lines, schemas.CORRELATION_DOC)
+
+
+@query("s6_mappings", J6 + """ SELECT job_id, speaker_id, face_id, round(confidence, 9) AS confidence, evidence_segments,
+  row_number() OVER (PARTITION BY job_id ORDER BY mapping_order) - 1 AS mapping_order FROM j5""")
+def _(t):
+    return documents.mappings(correlation_docs(t)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("s6_lower_thirds", J6 + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) - 1 AS seg_idx, start_s, end_s, speaker_id, face_id, name,
+  round(confidence, 9) AS confidence FROM j6""")
+def _(t):
+    rows = documents.lower_thirds(correlation_docs(t)).withColumnsRenamed({"start": "start_s", "end": "end_s"})
+    return rows.withColumn("confidence", F.round("confidence", 9))
+
+
+def face_docs(t):
+    clips = t.obs.select("job_id", "source_video").distinct().selectExpr(
+        "job_id", "CAST(substr(source_video, 6) AS INT) AS clip_idx", "source_video", "source_video = 'clip_0' AS is_main")
+    lines = sinks.faces_document(clips, clustering.cluster_summary(t.obs), t.obs, clustering.noise_counts(t.obs.withColumn("was_noise", F.lit(False))))
+    return parsed(lines, schemas.FACES_DOC)
+
+
+@query("s4_observations", with_views("obs_v") + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY obs_id) - 1 AS obs_id, source_video, ts_s, x1, y1, x2, y2,
+  round(CAST(embedding[1] AS DOUBLE), 4) AS first_value, len(embedding) AS dimensions, round(lip_openness, 6) AS lip, cluster_id FROM obs_v""")
+def _(t):
+    return documents.observations(face_docs(t)).select(
+        "job_id", "obs_id", "source_video", F.col("timestamp").alias("ts_s"), "bbox.*", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value"),
+        F.size("embedding").alias("dimensions"), F.round("lip_openness", 6).alias("lip"), "cluster_id")
+
+
+@query("k5_faces_document", with_views("obs_v") + """ SELECT job_id, 'clip_0' AS video, count(DISTINCT source_video) AS clips, count(*) AS observations,
+  count(DISTINCT cluster_id) FILTER (cluster_id <> '') AS face_clusters, count(DISTINCT cluster_id) FILTER (cluster_id <> '') AS estimated_people, 0 AS noise_count
+  FROM obs_v GROUP BY job_id""")
+def _(t):
+    return face_docs(t).select(
+        "job_id", "doc.video", F.size("doc.sampled_videos").alias("clips"), F.size("doc.observations").alias("observations"),
+        F.size("doc.face_clusters").alias("face_clusters"), "doc.estimated_people", "doc.noise_count")
+
+
+@query("s8_detections", DETECTED + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS ord, name, transcript, location, name_spelling FROM r3""")
+def _(t):
+    fields = [f.name for f in schemas.DETECTIONS if f.name not in ("job_id", "ord")]
+    rows = detections(t)
+    record = F.struct(*[F.col(c) for c in fields if c in rows.columns])
+    texts = rows.groupBy("job_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", record.alias("d")))), lambda x: x["d"])).alias("value"))
+    return documents.detections(documents.parse(texts, documents.DETECTIONS_DOC)).select(
+        "job_id", "ord", "name", "transcript", *[F.coalesce(c, F.lit("")).alias(c) for c in ("location", "name_spelling")])
+
+
+@query("k8_spoken_names_document", DETECTED + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS place, name, ts_s FROM r3""")
+def _(t):
+    rows = detections(t)
+    lines = sinks.spoken_names_document(t.label, rows, rows.select("job_id").distinct())
+    docs = parsed(lines, "labels map<string,string>, all_detections array<struct<name:string,timestamp:double>>")
+    found = docs.select("job_id", F.posexplode("doc.all_detections").alias("place", "d"))
+    return found.select("job_id", "place", "d.name", F.round("d.timestamp", 1).alias("ts_s"))
+
+
+@query("k7_intro_roster", DETECTED + """ SELECT job_id, ord, name, ts_s, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, (s % 3600) // 60, s % 60)
+  ELSE printf('%d:%02d', s // 60, s % 60) END AS timecode, location, pronunciation, name_spelling, spelling_note, clip_label, '' AS face_id,
+  match_confidence AS confidence, transcript, '' AS thumbnail_file, '' AS intro_clip_file FROM (SELECT *, CAST(round_even(ts_s, 0) AS BIGINT) AS s FROM r3) q""")
+def _(t):
+    return sinks.intro_roster_rows(report.intro_roster(detections(t))).withColumnRenamed("timestamp", "ts_s")
+
+
+@query("k6_face_sheet_rows", R2 + """ SELECT job_id, face_id, name, speaker_id, match_confidence, evidence_segments, sample_count, thumbnail_file FROM r2""")
+def _(t):
+    return sinks.face_sheet_rows(sheet(t))

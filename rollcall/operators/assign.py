@@ -6,7 +6,7 @@ Frames are sampled, so "the frame at a time" is the nearest sampled one within a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -155,6 +155,28 @@ def taken_before(events: DataFrame, assigned: DataFrame) -> DataFrame:
     return joined.select(*EVENT, F.array_sort(F.transform(earlier, lambda o: o["face_id"])).alias("taken"))
 
 
+def _by_number(faces: Column) -> Column:
+    """Faces as (n, face), the highest number first."""
+    return F.reverse(F.array_sort(F.transform(
+        faces, lambda f: F.struct(F.element_at(F.split(f, "_"), F.lit(2)).cast("int").alias("n"), f.alias("face"))
+    )))
+
+
+def first_attempt(face: Column, preferred: Column, taken: Column) -> Column:
+    """Number of the first attempt that admits a face, null if none does.
+
+    A free face passes at once. A taken one passes where another single face is left out, which is the first single
+    attempt unless it is that face itself; the only taken face passes when nothing is left out.
+    """
+    highest = F.get(_by_number(taken), F.lit(0))["face"]
+    return (
+        F.when(preferred != "", F.when(face == preferred, 0))
+        .when(~F.array_contains(taken, face), 0)
+        .when((F.size(taken) == 1) | (face != highest), 1)
+        .otherwise(2)
+    )
+
+
 def exclusion_attempts(events: DataFrame) -> DataFrame:
     """Sets of faces to leave out, in the order tried (needs ``preferred_face`` and ``taken``).
 
@@ -162,9 +184,7 @@ def exclusion_attempts(events: DataFrame) -> DataFrame:
     face there is one attempt that leaves out nothing.
     """
     none = F.array().cast("array<string>")
-    by_number = F.reverse(F.array_sort(F.transform(
-        F.col("taken"), lambda f: F.struct(F.element_at(F.split(f, "_"), F.lit(2)).cast("int").alias("n"), f.alias("face"))
-    )))
+    by_number = _by_number(F.col("taken"))
     singles = F.transform(by_number, lambda s: F.array(s["face"]))
     tries = F.array_distinct(F.concat(F.array(F.array_sort("taken")), singles, F.array(none)))
     attempts = F.when(F.col("preferred_face") != "", F.array(none)).otherwise(tries)
@@ -177,11 +197,9 @@ def choose_capture(events: DataFrame, captures: DataFrame, cluster_pictures: Dat
     The first attempt with a match, at its first offset; else the preferred face's cluster picture if
     allowed; else nothing. ``cluster_pictures`` lists (job_id, face_id) with a stored picture.
     """
-    tries = exclusion_attempts(events.select(*EVENT, "preferred_face", "taken"))
-    admissible = F.when(
-        F.col("preferred_face") != "", F.col("face_id") == F.col("preferred_face")
-    ).otherwise(~F.array_contains("excluded", F.col("face_id")))
-    matches = captures.join(tries, EVENT).filter(admissible)
+    asked = captures.join(events.select(*EVENT, "preferred_face", "taken"), EVENT)
+    attempt = first_attempt(F.col("face_id"), F.col("preferred_face"), F.col("taken"))
+    matches = asked.withColumn("attempt", attempt).filter("attempt IS NOT NULL")
     order = F.struct(F.col("attempt"), F.col("offset_rank"), -F.col("score"), F.col("obs_id"))
     found = matches.groupBy(*EVENT).agg(
         F.min_by(F.struct("face_id", "frame_ts", "obs_id"), order).alias("_found")

@@ -16,6 +16,8 @@ from rollcall.operators.blocks import BLOCK, cut_blocks, renewed, squared_distan
 from rollcall.session import cut_lineage
 
 ROUNDS = 10
+#: Seeding rounds after which lineage is cut and jobs that have all their seeds leave.
+CUT_ROUNDS = 3
 
 
 def prepare_points(points: DataFrame) -> DataFrame:
@@ -33,7 +35,8 @@ def farthest_first(points: DataFrame, first: DataFrame, k: DataFrame, rounds: in
     """Seeds per job: start from ``first`` (job_id, label, vector) and add the farthest point until k.
 
     ``rounds`` is the largest number of seeds any job still lacks. A job stops early when no point is
-    left that differs from its seeds.
+    left that differs from its seeds. Plans stay small however many seeds one job wants: lineage is cut
+    every few rounds, and only jobs that still lack seeds go on.
     """
     blocks = points.select(*BLOCK).distinct()
     schema = (
@@ -59,7 +62,8 @@ def farthest_first(points: DataFrame, first: DataFrame, k: DataFrame, rounds: in
     ).join(k.select("job_id", F.col("k").cast("long").alias("k")), "job_id", "left").withColumn(
         "k", F.coalesce("k", F.lit(1).cast("long"))  # a job without a count keeps its first seed
     )
-    for _ in range(rounds):
+    finished = []
+    for done in range(1, rounds + 1):
         candidates = points.groupBy(*BLOCK).cogroup(_on_blocks(seeds, blocks).groupBy(*BLOCK)).applyInPandas(
             farthest, schema
         )
@@ -71,7 +75,18 @@ def farthest_first(points: DataFrame, first: DataFrame, k: DataFrame, rounds: in
         seeds = grown.select(
             "job_id", "k",
             F.when(more, F.concat("seeds", F.array("_far.vector"))).otherwise(F.col("seeds")).alias("seeds"),
+            more.alias("_grew"),
         )
+        if done % CUT_ROUNDS == 0 and done < rounds:
+            settled = cut_lineage(seeds)
+            rest = F.col("_grew") & (F.size("seeds") < F.col("k"))
+            finished.append(settled.filter(~rest).select("job_id", "k", "seeds"))
+            seeds = settled.filter(rest)
+            if seeds.isEmpty():
+                break
+        seeds = seeds.select("job_id", "k", "seeds")
+    for part in finished:
+        seeds = seeds.select("job_id", "k", "seeds").unionByName(part)
     return seeds.select("job_id", F.posexplode("seeds").alias("label", "vector"))
 
 

@@ -39,9 +39,9 @@ def _box(values: Column) -> Column:
     return F.struct(*[F.get(values, F.lit(i)).alias(side) for i, side in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-def read_observations(spark: SparkSession, base: str) -> DataFrame:
-    """Observations in document order."""
-    rows = _read(spark, base, "faces.json", schemas.FACES_DOC).select("job_id", F.posexplode("doc.observations").alias("obs_id", "o"))
+def observations(docs: DataFrame) -> DataFrame:
+    """Observations of parsed faces documents, in document order."""
+    rows = docs.select("job_id", F.posexplode("doc.observations").alias("obs_id", "o"))
     return rows.select(
         "job_id", F.col("obs_id").cast("long").alias("obs_id"), F.coalesce("o.source_video", F.lit("")).alias("source_video"),
         "o.timestamp", _box(F.col("o.bbox")).alias("bbox"), "o.embedding", "o.lip_openness",
@@ -49,6 +49,37 @@ def read_observations(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def speaker_segments(docs: DataFrame) -> DataFrame:
+    """Segments of parsed speakers documents, in document order."""
+    rows = docs.select("job_id", F.posexplode("doc.segments").alias("seg_idx", "s"))
+    return rows.select("job_id", F.col("seg_idx").cast("long").alias("seg_idx"), "s.speaker_id", "s.start", "s.end")
+
+
+def mappings(docs: DataFrame) -> DataFrame:
+    """Mappings of parsed correlation documents with their place, which decides shared faces."""
+    rows = docs.select("job_id", F.posexplode("doc.speaker_face_mappings").alias("mapping_order", "m"))
+    return rows.select("job_id", "m.*", F.col("mapping_order").cast("long").alias("mapping_order"))
+
+
+def lower_thirds(docs: DataFrame) -> DataFrame:
+    """Lower thirds of parsed correlation documents, in document order."""
+    rows = docs.select("job_id", F.posexplode("doc.lower_thirds").alias("seg_idx", "t"))
+    return rows.select("job_id", F.col("seg_idx").cast("long").alias("seg_idx"), "t.*")
+
+
+def detections(docs: DataFrame) -> DataFrame:
+    """Detections of parsed documents, in document order."""
+    rows = docs.select("job_id", F.posexplode("doc").alias("ord", "d"))
+    return rows.select("job_id", F.col("ord").cast("long").alias("ord"), "d.*")
+
+
+DETECTIONS_DOC = ArrayType(StructType([f for f in schemas.DETECTIONS if f.name not in ("job_id", "ord")]))
+
+
+def read_observations(spark: SparkSession, base: str) -> DataFrame:
+    return observations(_read(spark, base, "faces.json", schemas.FACES_DOC))
+
+
 def read_clusters(spark: SparkSession, base: str) -> DataFrame:
     rows = _read(spark, base, "faces.json", schemas.FACES_DOC).select("job_id", F.explode("doc.face_clusters").alias("c"))
     return rows.select(
@@ -67,25 +98,15 @@ def read_clip_lists(spark: SparkSession, base: str) -> DataFrame:
 
 
 def read_speaker_segments(spark: SparkSession, base: str) -> DataFrame:
-    """Segments in document order."""
-    rows = _read(spark, base, "speakers.json", schemas.SPEAKERS_DOC).select("job_id", F.posexplode("doc.segments").alias("seg_idx", "s"))
-    return rows.select("job_id", F.col("seg_idx").cast("long").alias("seg_idx"), "s.speaker_id", "s.start", "s.end")
+    return speaker_segments(_read(spark, base, "speakers.json", schemas.SPEAKERS_DOC))
 
 
 def read_mappings(spark: SparkSession, base: str) -> DataFrame:
-    """Mappings with their place in the document, which decides shared faces."""
-    rows = _read(spark, base, "correlation.json", schemas.CORRELATION_DOC).select(
-        "job_id", F.posexplode("doc.speaker_face_mappings").alias("mapping_order", "m")
-    )
-    return rows.select("job_id", "m.*", F.col("mapping_order").cast("long").alias("mapping_order"))
+    return mappings(_read(spark, base, "correlation.json", schemas.CORRELATION_DOC))
 
 
 def read_lower_thirds(spark: SparkSession, base: str) -> DataFrame:
-    """Lower thirds in document order."""
-    rows = _read(spark, base, "correlation.json", schemas.CORRELATION_DOC).select(
-        "job_id", F.posexplode("doc.lower_thirds").alias("seg_idx", "t")
-    )
-    return rows.select("job_id", F.col("seg_idx").cast("long").alias("seg_idx"), "t.*")
+    return lower_thirds(_read(spark, base, "correlation.json", schemas.CORRELATION_DOC))
 
 
 def read_labels(spark: SparkSession, base: str) -> DataFrame:
@@ -94,7 +115,5 @@ def read_labels(spark: SparkSession, base: str) -> DataFrame:
 
 
 def read_detections(spark: SparkSession, base: str) -> DataFrame:
-    """Detections in document order; jobs without the file have none."""
-    record = StructType([f for f in schemas.DETECTIONS if f.name not in ("job_id", "ord")])
-    rows = _read(spark, base, "all_detected_names.json", ArrayType(record)).select("job_id", F.posexplode("doc").alias("ord", "d"))
-    return rows.select("job_id", F.col("ord").cast("long").alias("ord"), "d.*")
+    """Jobs without the file have no detections."""
+    return detections(_read(spark, base, "all_detected_names.json", DETECTIONS_DOC))

@@ -117,3 +117,18 @@ def test_nearest_cluster_ties_and_missing(spark):
     assert got[("a", 2)] == "face_1"  # as far from both, the cluster seen first wins
     assert got[("b", 0)] == ""
     assert {(r.job_id, r.obs_id): r.cluster_id for r in clustering.assign_noise(obs).collect()}[("a", 2)] == "face_1"
+
+
+def test_seeding_goes_on_for_the_one_job_that_wants_many(spark):
+    rows = [("big", i, [float(i * i), 1.0]) for i in range(24)] + [("small", i, [float(i % 2), 0.0]) for i in range(6)]
+    points = kmeans.prepare_points(spark.createDataFrame(rows, "job_id string, point_id long, vector array<double>"))
+    first = spark.createDataFrame([("big", 0, [0.0, 1.0]), ("small", 0, [0.0, 0.0])], "job_id string, label int, vector array<double>")
+    k = spark.createDataFrame([("big", 9), ("small", 2)], "job_id string, k int")
+    got = {}
+    for r in kmeans.farthest_first(points, first, k, 8).collect():
+        got.setdefault(r.job_id, {})[r.label] = tuple(r.vector)
+    seeds = [0.0]
+    while len(seeds) < 9:
+        seeds.append(max((float(i * i) for i in range(24)), key=lambda x: (min(abs(x - s) for s in seeds), -x)))
+    assert [got["big"][i][0] for i in range(9)] == seeds
+    assert [got["small"][i][0] for i in range(2)] == [0.0, 1.0]
