@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.quality import held_out
 from rollcall.llm.shared import stored
-from rollcall.llm.words import by_bytes
+from rollcall.llm.words import by_bytes, hash_shingles, hash_words
 
-#: Words that every task knows have at least this share of all training tokens, so there are at most 500,000.
+#: Words, and runs of words of one length, that every task knows have at least this share of all training tokens, so there
+#: are at most 500,000. A shortcut only: the others meet their values in joins, and scores do not depend on it.
 COMMON = 2e-6
-#: Contexts, and the symbols they are made of, have at least this share: at most 20,000 of each length.
-CONTEXT = 5e-5
-#: Symbols that a context keeps a probability of its own for have this share together with it, and this count.
-FOLLOWING, FOLLOWING_COUNT = 2e-6, 2
-#: Longest context in words.
-DEPTH = 2
+#: Cuts of the tree that ``learn`` holds in memory; ``score`` does not use them.
+CONTEXT, FOLLOWING = 5e-5, 2e-6
+#: Next symbols that a context keeps a probability of its own for follow it at least so often.
+FOLLOWING_COUNT = 2
+#: Longest context in words, up to ``DEPTH_TOKENS`` training tokens; one word more for each hundredfold of them.
+DEPTH, DEPTH_TOKENS = 2, 10**9
 #: A context stays if its next-symbol distribution diverges from its suffix's by this many nats per occurrence.
 DIVERGENCE = 0.02
 #: Taken off each kept count and left to the suffix.
@@ -117,6 +118,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_word_rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def root(counts: DataFrame) -> Tree:
+    """The root of the tree: the common words of ``counts(word, n)`` with their probabilities, and the totals of all words."""
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    common = counts.where((F.col("n") >= COMMON * total) | (F.col("word") == END)).toArrow()
+    pairs = sorted(zip(common.column("word").to_pylist(), common.column("n").to_pylist(), strict=True), key=lambda p: (p[0] != END, -p[1], p[0]))
+    logs = np.log10((np.array([n for _, n in pairs], float) + 1) / (total + distinct + 1)) if pairs else np.zeros(0)
+    symbols = sum(n >= CONTEXT * total or w == END for w, n in pairs)
+    return Tree({w: i for i, (w, _) in enumerate(pairs)}, logs, symbols + 1, total, distinct)
+
+
 def _joined(tree: Tree, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     """Ids of the tokens of several texts, each text after a -1, the number of tokens of each text, and the tokens."""
     words = [tokens(t) for t in texts]
@@ -138,18 +149,14 @@ def _next_rows(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBat
 
 
 def learn(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
-    """Grows the tree on all of ``docs`` from their ``counts(word, n)``, one length of contexts after the other.
+    """Grows a tree in memory from all of ``docs`` and their ``counts(word, n)``, one length of contexts after the other.
 
-    Counts cover every text. What comes to the driver is bounded by the shares above, whatever the size of the corpus:
-    common words, contexts that are frequent enough, and the next symbols they keep.
+    What comes to the driver is bounded by the shares above, so on large corpora this is a part of the tree; ``grown``
+    keeps all of it in tables. On corpora of under 40,000 tokens both are the same.
     """
     spark = docs.sparkSession
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.where((F.col("n") >= COMMON * total) | (F.col("word") == END)).toArrow()
-    pairs = sorted(zip(common.column("word").to_pylist(), common.column("n").to_pylist(), strict=True), key=lambda p: (p[0] != END, -p[1], p[0]))
-    logs = np.log10((np.array([n for _, n in pairs], float) + 1) / (total + distinct + 1)) if pairs else np.zeros(0)
-    symbols = sum(n >= CONTEXT * total or w == END for w, n in pairs)
-    tree = Tree({w: i for i, (w, _) in enumerate(pairs)}, logs, symbols + 1, total, distinct)
+    tree = root(counts)
+    total, symbols = tree.total, tree.width - 1
     codes, suffix = np.arange(1, symbols), np.full(max(symbols - 1, 0), -1)  # nothing follows the end token
     for length in range(1, depth + 1):
         if not codes.size:
@@ -211,12 +218,135 @@ def _suffix_log10(tree: Tree, level: Level | None, context: np.ndarray, followin
     return out
 
 
+# --- the whole tree in tables -----------------------------------------------------------------------------------------
+#
+# A run of k + 1 tokens is a context of k words and its next symbol; tables name it by a 64-bit hash. Of a run, ``context``
+# lacks the last token and ``suffix`` the first.
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of a text's tokens, the end token's last."""
+    return np.append(hash_words(words[:-1]), np.uint64(0x5851F42D4C957F2D))
+
+
+def _runs(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of 1 to ``width`` tokens that begin at each token, one row per length, and each token's text.
+
+    A run that would leave its text has some hash too: it is none of the text's runs.
+    """
+    tokens_ = [_hashes(tokens(t)) for t in texts]
+    of = np.repeat(np.arange(len(tokens_)), [h.size for h in tokens_])
+    joined = np.concatenate([*tokens_, np.zeros(width, np.uint64)])
+    return np.stack([hash_shingles(joined, k)[: of.size] for k in range(1, width + 1)]).view(np.int64), of
+
+
+def _inside(of: np.ndarray, width: int) -> np.ndarray:
+    """Where a run of ``width`` tokens begins that ends in the same text."""
+    return np.flatnonzero(of[: max(0, of.size - width + 1)] == of[width - 1 :])
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, "text", SLICE_BYTES):
+        runs, of = _runs(batch.column("text").to_pylist(), width)
+        at = _inside(of, width)
+        found, first, counts = np.unique(runs[width - 1, at], return_index=True, return_counts=True)
+        at = at[first]
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(runs[width - 2, at]), pa.array(runs[width - 2, at + 1]), pa.array(counts.astype(np.int64))], ["run", "context", "suffix", "n"])
+
+
+def _root_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        ends = np.array([w == END for w in words], bool)
+        hashes = np.full(len(words), _hashes([END])[0])
+        hashes[~ends] = hash_words([w for w in words if w != END])
+        yield pa.RecordBatch.from_arrays([pa.array(hash_shingles(hashes, 1).view(np.int64)), batch.column("n")], ["run", "n"])
+
+
+def grown(docs: DataFrame, counts: DataFrame, size: int, depth: int, divergence: float = DIVERGENCE) -> DataFrame:
+    """(run, value, n): what each occurrence of a run adds to the log10 probability of its text.
+
+    Grows the tree on all of ``docs`` from their ``counts(word, n)``, whose add-one denominator is ``size``. Every run that
+    occurs ``FOLLOWING_COUNT`` times is counted and every context that passes the divergence test stays, in tables that
+    grow with the corpus. The value of a kept context is the factor it has on what its suffix gives to any next
+    symbol; that of a run whose context is kept turns this factor and the suffix's probability into its own.
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    above = stored(counts.mapInArrow(_root_rows, "run long, n long").selectExpr("run", "n", f"log10((n + 1) / {float(size)}D) AS p", "CAST(NULL AS BIGINT) AS suffix"))
+    kept_above, values = None, []
+    for width in range(2, depth + 2):
+        rows = texts.mapInArrow(partial(_run_rows, width=width), "run long, context long, suffix long, n long")
+        rows = rows.groupBy("run").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")).where(F.col("n") >= FOLLOWING_COUNT)
+        rows = stored(rows.join(above.select(F.col("run").alias("suffix"), F.col("p").alias("parent")), "suffix"))
+        part = F.col("n") - F.lit(DISCOUNT)
+        sums = rows.groupBy("context").agg(
+            F.sum(part).alias("mass"), F.sum(part * (F.log(part) - F.col("parent") * np.log(10).item())).alias("gap"), F.sum(F.pow(F.lit(10.0), "parent")).alias("taken"))
+        own = above.select(F.col("run").alias("context"), F.col("n").alias("seen"), F.col("suffix").alias("shorter"))
+        tests = sums.join(own, "context").withColumn("rest", F.greatest(1 - F.col("mass") / F.col("seen"), F.lit(1e-9)))
+        tests = tests.withColumn("backoff", F.log10(F.col("rest") / (1 - F.least("taken", F.lit(1 - 1e-9)))))
+        tests = tests.where((F.col("gap") - F.col("mass") * F.log("seen")) / F.col("seen") + F.col("rest") * F.col("backoff") * np.log(10).item() >= divergence)
+        if kept_above is not None:
+            tests = tests.join(kept_above.select(F.col("context").alias("shorter")), "shorter", "left_semi")
+        kept = stored(tests.select("context", "seen", "backoff"))
+        chance = F.log10(part / F.col("seen"))
+        judged = rows.join(kept, "context", "left")
+        above = stored(judged.select("run", "n", F.coalesce(chance, "parent").alias("p"), "suffix", F.coalesce(chance - F.col("parent") - F.col("backoff"), F.lit(0.0)).alias("value")))
+        values += [kept.select(F.col("context").alias("run"), F.col("backoff").alias("value"), F.col("seen").alias("n")), above.where("value <> 0").select("run", "value", "n")]
+        kept_above = kept
+        above = above.drop("value")
+    every = values[0]
+    for more in values[1:]:
+        every = every.unionByName(more)
+    return stored(every.groupBy("run").agg(F.sum("value").alias("value"), F.max("n").alias("n")))
+
+
+def _value_rows(batches: Iterator[pa.RecordBatch], width: int, frequent) -> Iterator[pa.RecordBatch]:
+    """Per document a row (no run) for what frequent runs add, and one for each distinct other run."""
+    known, values = frequent.value
+    for batch in by_bytes(batches, "text"):
+        runs, of = _runs(batch.column("text").to_pylist(), width)
+        rows = batch.column("row").to_numpy()
+        every = [(runs[k - 1, at], of[at]) for k in range(1, width + 1) for at in (_inside(of, k),)]
+        run, at = (np.concatenate(x) for x in zip(*every, strict=True))
+        found = _find_signed(known, run)
+        hit = found >= 0
+        gain = np.bincount(at[hit], values[found[hit]], rows.size) if hit.any() else np.zeros(rows.size)
+        run, at = run[~hit], at[~hit]
+        order = np.lexsort((run, at))
+        run, at = run[order], at[order]
+        first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (at[1:] != at[:-1])))) if run.size else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, run.size))
+        none = rows.size
+        yield pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(run[first])]), pa.array(np.concatenate((rows, rows[at[first]]))),
+            pa.array(np.concatenate((gain, n.astype(float)))),
+        ], ["run", "row", "n"])
+
+
+def _find_signed(haystack: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of every key, of either sign, in a sorted array, -1 where it is missing."""
+    if not haystack.size:
+        return np.full(keys.size, -1)
+    at = np.minimum(np.searchsorted(haystack, keys), haystack.size - 1)
+    return np.where(haystack[at] == keys, at, -1)
+
+
+def gains(texts: DataFrame, values: DataFrame, total: int, depth: int) -> DataFrame:
+    """(row, gain), several rows each: what the tree changes in the log10 probability of ``texts(row, text)``."""
+    table = values.where(F.col("n") >= COMMON * total).orderBy("run").select("run", "value").toArrow()
+    shared = texts.sparkSession.sparkContext.broadcast((table.column("run").to_numpy().copy(), table.column("value").to_numpy().copy()))
+    found = texts.mapInArrow(partial(_value_rows, width=depth + 1, frequent=shared), "run long, row long, n double")
+    rare = values.where(F.col("n") < COMMON * total).select("run", "value")
+    met = found.where("run IS NOT NULL").join(rare, "run").select("row", (F.col("n") * F.col("value")).alias("gain"))
+    return found.where("run IS NULL").select("row", F.col("n").alias("gain")).unionByName(met)
+
+
 # --- scoring ----------------------------------------------------------------------------------------------------------
 
-_PARTS = "word binary, row long, doc_id long, n long, copies int, tokens long, known long, base double, gain double"
+_PARTS = "word binary, row long, doc_id long, n long, copies int, tokens long, known long, base double"
 _PARTS_ARROW = pa.schema([
     ("word", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("copies", pa.int32()),
-    ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()),
+    ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
 ])
 
 
@@ -229,14 +359,11 @@ def _part_rows(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBat
         of = np.repeat(np.arange(sizes.size), sizes + 1)
         known = ids >= 0
         base = np.bincount(of, np.where(known, tree.logs[ids] if tree.logs.size else 0.0, 0.0), sizes.size)
-        gain = tree.gain(ids)
-        gain[np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))] = 0  # the marks before the texts
-        gain = np.bincount(of, gain, sizes.size)
         marks = [b"\0" + r.to_bytes(8, "big", signed=True) for r in rows.to_pylist()]  # no word begins like this
         n = sizes.size
         yield pa.RecordBatch.from_arrays([
             pa.array(marks, pa.binary()), rows, docs, pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int32)), pa.array(sizes.astype(np.int64)),
-            pa.array(np.bincount(of, known, n).astype(np.int64)), pa.array(base), pa.array(gain),
+            pa.array(np.bincount(of, known, n).astype(np.int64)), pa.array(base),
         ], schema=_PARTS_ARROW)
         rare_words, rare_rows, rare_counts = [], [], []
         get = tree.ids
@@ -249,34 +376,47 @@ def _part_rows(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBat
         zero, zeros = pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n))
         yield pa.RecordBatch.from_arrays([
             pa.array(rare_words, pa.binary()), pa.array(rare_rows, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rare_counts, pa.int64()),
-            pa.array(np.zeros(n, np.int32)), zero, zero, zeros, zeros,
+            pa.array(np.zeros(n, np.int32)), zero, zero, zeros,
         ], schema=_PARTS_ARROW)
 
 
-def score(docs: DataFrame, parts: int = 7, part: int = 2, **options) -> DataFrame:
+def depth_for(total: int) -> int:
+    """Longest context for so many training tokens."""
+    depth, reach = DEPTH, DEPTH_TOKENS
+    while total >= reach:
+        depth, reach = depth + 1, reach * 100
+    return depth
+
+
+def score(docs: DataFrame, parts: int = 7, part: int = 2, depth: int | None = None, **options) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text, a row per row.
 
     The tree learns from the documents that are not held out. ``base_score`` is the add-one unigram log10 probability;
     ``score`` adds what the longest kept contexts change. Words that are not common meet their counts in a join on the
-    word, once per document. Null text counts as empty: only the end token. Null ids are not held out. Rows that repeat
+    word, once per document, and so do runs of words that are not frequent with what they add. Null text counts as empty: only the end token. Null ids are not held out. Rows that repeat
     in id and text are scored once and repeated. Without training documents every token has probability one. An empty
     table gives no rows; other columns are not read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     training = own.where(~held_out(F.col("doc_id"), parts, part))
     counts = stored(word_counts(training))
-    tree = learn(training, counts, **options)
+    tree = root(counts)
+    depth = depth_for(tree.total) if depth is None else depth
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    pieces = own.withColumn("row", F.xxhash64("doc_id", "text")).select("row", "doc_id", "text").mapInArrow(partial(_part_rows, tree=shared), _PARTS)
+    named = own.withColumn("row", F.xxhash64("doc_id", "text")).select("row", "doc_id", "text")
+    pieces = named.mapInArrow(partial(_part_rows, tree=shared), _PARTS)
     rare = counts.where((F.col("n") < COMMON * tree.total) & (F.col("word") != END)).select("word", F.col("n").alias("c"))
     met = pieces.join(rare, "word", "left")
     size = tree.total + tree.distinct + 1
     chance = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(size)))
-    summed = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"),
-        F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + chance).alias("base"), F.sum("gain").alias("gain"),
-    )
+    based = met.select(
+        "row", "doc_id", "copies", "tokens", (F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
+        (F.col("base") + chance).alias("base"), F.lit(0.0).alias("gain"))
+    if depth > 0 and tree.total > 0:
+        values = grown(training, counts, size, depth, **options)
+        based = based.unionByName(gains(named.select("row", "text"), values, tree.total, depth), allowMissingColumns=True)
+    summed = based.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("copies", "tokens", "known", "base", "gain")])
     times = F.col("copies")
     each = summed.withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
     return each.select(

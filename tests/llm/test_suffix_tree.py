@@ -69,3 +69,29 @@ def test_repeated_null_and_empty(spark):
     untrained = next(i for i in range(100) if held(i))
     only = S.score(documents(spark, ["x"], [untrained])).collect()
     assert only[0].base_score == 0 and only[0].score == 0 and only[0].n_known == 0
+
+
+def test_scores_use_the_whole_tree_whatever_the_shares(spark, monkeypatch):
+    rng = random.Random(15)
+    docs = documents(spark, [chain(rng, 60) + " " + " ".join(f"w{rng.randrange(30)} v{rng.randrange(4)}" for _ in range(40)) for _ in range(60)])
+    training = docs.where("doc_id IN (" + ",".join(str(i) for i in range(60) if not held(i)) + ")")
+    tree = S.learn(training, S.stored(S.word_counts(training.select("text"))))  # so few tokens that no share cuts
+    assert all(level.kept.any() for level in tree.levels)
+    wanted = {}
+    for r in docs.collect():
+        ids = np.concatenate(([-1], tree.encode(S.tokens(r.text))))
+        wanted[r.doc_id] = float(tree.gain(ids)[1:].sum())
+    for name, share in (("CONTEXT", 0.05), ("FOLLOWING", 0.01), ("COMMON", 0.02)):
+        monkeypatch.setattr(S, name, share)
+    rows = S.score(docs).collect()
+    assert len(rows) == 60
+    for r in rows:
+        assert abs(r.score - r.base_score - wanted[r.doc_id]) < 1e-6
+
+
+def test_depth_grows_with_the_corpus(spark):
+    assert [S.depth_for(n) for n in (0, 10**6, 10**9 - 1, 10**9, 10**11)] == [2, 2, 2, 3, 4]
+    rng = random.Random(16)
+    docs = documents(spark, [" ".join(s for _ in range(20) for s in rng.choice(["a b c d", "x b c e", "y c f"]).split()) for _ in range(60)])
+    two, three = ({r.doc_id: r.score for r in S.score(docs, depth=d).collect()} for d in (2, 3))
+    assert sum(three.values()) > sum(two.values()) + 100  # what follows "b c" depends on the word before
