@@ -18,8 +18,10 @@ SHINGLE = 5
 PERMUTATIONS = 128
 BANDS = 32
 LIKENESS = 0.8
-#: Classes in one band bucket from which on a second band must agree too.
+#: Classes of one band bucket outside its head's component from which on those that share a second band are compared first.
 HOT = 256
+#: Parts that the members of a band bucket are dealt into.
+SALTS = 8
 #: Shingles that one matrix of permuted hashes covers.
 BLOCK = 512
 
@@ -144,9 +146,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LIKENE
     """(doc_id, component_id): documents whose shingle sets have a Jaccard similarity of ``least`` or more link.
 
     Texts with equal shingles are one class. The classes' signature bands meet in Spark; in a band every class is
-    compared with its band's smallest class first, and only classes that this does not join meet each other, so a group
-    of copies gives a star and not all its pairs; where more than ``HOT`` are left, pairs must share a second band, of
-    which sets at 0.8 have a dozen. Jaccard is computed on the whole shingle sets. Two sets at 0.8 share a band
+    compared with its band's smallest class, its head, first. Then every class that is still outside the component of a
+    head meets all members of the bucket in other components than its own, so a group of copies gives a star and not all its
+    pairs. Where more than ``HOT`` are outside, those that share a second band meet first, as sets at 0.8 share a dozen, and the
+    rest meet all others once this has joined components. Jaccard is computed on the whole shingle sets. Two sets at 0.8 share a band
     of four permutations with a probability over 0.9999999. Texts without words are one class. Null text counts as
     empty; null ids count only where a group has no other; an empty table gives no rows.
     """
@@ -157,22 +160,46 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LIKENE
     heads = banded.groupBy("band", "key").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1")
     stars = banded.join(heads, ["band", "key"]).where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
     linked = stored(_alike(stars, classes, least))
-    apart = banded.join(heads, ["band", "key"]).join(linked.select(F.col("a").alias("class"), F.col("b").alias("head")), ["class", "head"], "left_anti")
-    left = apart.where("class <> head").select("band", "key", "class")
-    sizes = left.groupBy("band", "key").agg(F.count("*").alias("left"))
-    sized = left.join(sizes, ["band", "key"])
-    second = banded.select("class", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    hot = sized.where(F.col("left") > HOT).join(second, "class").where("band <> band2")
-    cool = sized.where(F.col("left") <= HOT).select("class", "band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
-    left = cool.unionByName(hot.select(*cool.columns)).withColumn("key", F.xxhash64("key", "key2", "band2")).select("band", "key", "class")
-    pairs = left.alias("x").join(left.alias("y"), ["band", "key"]).where("x.class > y.class").selectExpr("x.class AS a", "y.class AS b").distinct()
-    more = pairs.join(linked, ["a", "b"], "left_anti")
-    joined = components(linked.unionByName(_alike(more, classes, least)))
+    outside, members = _outside(banded, heads, components(linked))
+    sizes = outside.groupBy("band", "key").agg(F.count("*").alias("left"))
+    hot = stored(sizes.where(F.col("left") > HOT).select("band", "key"))
+    tried = stored(_across(outside.join(hot, ["band", "key"], "left_anti"), members).unionByName(_across(
+        _second(outside.join(hot, ["band", "key"]), banded), _second(members.join(hot, ["band", "key"]), banded))).distinct())
+    linked = stored(linked.unionByName(_alike(tried, classes, least)))
+    joined = components(linked)
+    if not hot.isEmpty():
+        outside, members = _outside(banded.join(hot, ["band", "key"]), heads, joined)
+        rest = _across(outside, members).join(tried, ["a", "b"], "left_anti")
+        joined = components(linked.unionByName(_alike(rest, classes, least)))
     named = classes.select("class", "first").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "class").join(named.join(ids, "component").select("class", "component_id"), "class").select("doc_id", "component_id")
 
 
+def _outside(banded: DataFrame, heads: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (band, key, class, component, inside) of the buckets, first those outside their head's component, then all."""
+    of_class = joined.select(F.col("node").alias("class"), "component")
+    of_head = joined.select(F.col("node").alias("head"), F.col("component").alias("main"))
+    members = banded.join(heads, ["band", "key"]).join(of_class, "class", "left").join(of_head, "head", "left")
+    members = members.withColumn("component", F.coalesce("component", "class")).withColumn("inside", F.col("component") == F.coalesce("main", "head"))
+    members = stored(members.select("band", "key", "class", "component", "inside"))
+    return members.where("NOT inside"), members
+
+
+def _second(members: DataFrame, banded: DataFrame) -> DataFrame:
+    """The members once per further band of theirs, keyed by both."""
+    further = banded.select("class", F.col("band").alias("band2"), F.col("key").alias("key2"))
+    return members.join(further, "class").where("band <> band2").withColumn("key", F.xxhash64("key", "band2", "key2")).select(*members.columns)
+
+
+def _across(outside: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a over b, of the classes outside with the members of their buckets in other components."""
+    x = outside.select("band", "key", F.col("class").alias("x"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    y = members.select("band", "key", F.col("class").alias("y"), F.col("component").alias("cy"), "inside", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int").alias("salt"))
+    met = x.join(y, ["band", "key", "salt"]).where("cx <> cy AND (inside OR x > y)")
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are alike enough."""
     a = classes.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))

@@ -83,3 +83,38 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
             root[max(a, b)] = min(a, b)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
+def family(rng):
+    """Texts with many edited copies each: a copy is alike to the text and to hardly any other copy."""
+    texts = []
+    for d in range(2):
+        base = [f"d{d}w{k}" for k in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(200):
+            changed = list(base)
+            for k in rng.sample(range(5, 115, 5), 2):
+                changed[k] = f"n{rng.random()}"
+            texts.append(" ".join(changed))
+    return texts
+
+
+def test_outliers_of_large_families_stay_linked(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = family(rng)
+    shingled = [sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, j in combinations(range(len(texts)), 2):
+        if jaccard(shingled[i], shingled[j]) >= 0.8:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    for hot in (256, 1):
+        monkeypatch.setattr(minhash, "HOT", hot)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
