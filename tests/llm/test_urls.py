@@ -73,3 +73,15 @@ def test_empty_table_and_repeated_rows(spark):
     assert urls.judge(pages(spark, ["x"]).limit(0)).count() == 0
     twice = pages(spark, ["http://a.net/", "http://a.net/"]).withColumn("page_id", urls.F.lit(None).cast("long")).withColumn("html", urls.F.lit(None).cast("string"))
     assert [(r.page_id, r.verdict) for r in urls.judge(twice).collect()] == [(None, "block")] * 2
+
+
+def test_rare_words_count_whatever_the_share(spark, monkeypatch):
+    rng = random.Random(19)
+    given = [f"http://{rng.choice(['news', 'city', 'garden', 'school'])}{rng.choice(['paper', 'house'])}.com/{rng.choice(['about', 'list'])}" for _ in range(150)]
+    given += [f"http://casino-win.com/{rng.choice(['bonus', 'spin'])}" for _ in range(15)] * 2
+    given += ["http://warez-stuff.com/about", "http://keygen.com/list", "http://winbonusspin.com/q", "http://gardenkeygen.com/", "http://stuffhouse.com/x", "", None]
+    whole = {r.page_id: r.verdict for r in urls.judge(pages(spark, given)).collect()}
+    assert whole[150] == "block" and whole[0] == "allow"
+    for share in (0.02, 0.3):
+        monkeypatch.setattr(urls, "SHARE", share)
+        assert {r.page_id: r.verdict for r in urls.judge(pages(spark, given)).collect()} == whole
