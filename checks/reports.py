@@ -91,48 +91,44 @@ def _(t):
     return sinks.labels_document(t.label)
 
 
-def parsed(lines, schema):
-    """Documents of the given lines, put together per job and read again."""
-    parts = F.array_sort(F.collect_list(F.struct("section", "ord", "line")))
-    return documents.parse(lines.groupBy("job_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("value")), schema)
-
-
 @query("s5_speaker_segments", SEG + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) - 1 AS seg_idx, speaker_id, start_s, end_s FROM seg_v""")
 def _(t):
     lines = sinks.speakers_document(t.seg, t.seg.select("job_id").distinct())
-    return documents.speaker_segments(parsed(lines, schemas.SPEAKERS_DOC)).withColumnsRenamed({"start": "start_s", "end": "end_s"})
+    found = documents.records(lines, 0, schemas.SPEAKERS_DOC["segments"].dataType.elementType, "seg_idx", "s")
+    return documents.segment_rows(found).withColumnsRenamed({"start": "start_s", "end": "end_s"})
 
 
-def correlation_docs(t):
+def correlation_lines(t):
     mapped = correlate.correlate(t.obs, t.seg)
-    lines = sinks.correlation_document(mapped, correlate.lower_thirds(t.seg, mapped), t.seg.select("job_id").distinct())
-    return parsed(lines, schemas.CORRELATION_DOC)
+    return sinks.correlation_document(mapped, correlate.lower_thirds(t.seg, mapped), t.seg.select("job_id").distinct())
 
 
 @query("s6_mappings", J6 + """ SELECT job_id, speaker_id, face_id, round(confidence, 9) AS confidence, evidence_segments,
   row_number() OVER (PARTITION BY job_id ORDER BY mapping_order) - 1 AS mapping_order FROM j5""")
 def _(t):
-    return documents.mappings(correlation_docs(t)).withColumn("confidence", F.round("confidence", 9))
+    found = documents.records(correlation_lines(t), 0, schemas.CORRELATION_DOC["speaker_face_mappings"].dataType.elementType, "mapping_order", "m")
+    return documents.mapping_rows(found).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("s6_lower_thirds", J6 + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) - 1 AS seg_idx, start_s, end_s, speaker_id, face_id, name,
   round(confidence, 9) AS confidence FROM j6""")
 def _(t):
-    rows = documents.lower_thirds(correlation_docs(t)).withColumnsRenamed({"start": "start_s", "end": "end_s"})
+    found = documents.records(correlation_lines(t), 1, schemas.CORRELATION_DOC["lower_thirds"].dataType.elementType, "seg_idx", "t")
+    rows = documents.third_rows(found).withColumnsRenamed({"start": "start_s", "end": "end_s"})
     return rows.withColumn("confidence", F.round("confidence", 9))
 
 
-def face_docs(t):
+def face_lines(t):
     clips = t.obs.select("job_id", "source_video").distinct().selectExpr(
         "job_id", "CAST(substr(source_video, 6) AS INT) AS clip_idx", "source_video", "source_video = 'clip_0' AS is_main")
-    lines = sinks.faces_document(clips, clustering.cluster_summary(t.obs), t.obs, clustering.noise_counts(t.obs.withColumn("was_noise", F.lit(False))))
-    return parsed(lines, schemas.FACES_DOC)
+    return sinks.faces_document(clips, clustering.cluster_summary(t.obs), t.obs, clustering.noise_counts(t.obs.withColumn("was_noise", F.lit(False))))
 
 
 @query("s4_observations", with_views("obs_v") + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY obs_id) - 1 AS obs_id, source_video, ts_s, x1, y1, x2, y2,
   round(CAST(embedding[1] AS DOUBLE), 4) AS first_value, len(embedding) AS dimensions, round(lip_openness, 6) AS lip, cluster_id FROM obs_v""")
 def _(t):
-    return documents.observations(face_docs(t)).select(
+    found = documents.records(face_lines(t), 1, schemas.FACES_DOC["observations"].dataType.elementType, "obs_id", "o")
+    return documents.observation_rows(found).select(
         "job_id", "obs_id", "source_video", F.col("timestamp").alias("ts_s"), "bbox.*", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value"),
         F.size("embedding").alias("dimensions"), F.round("lip_openness", 6).alias("lip"), "cluster_id")
 
@@ -141,9 +137,16 @@ def _(t):
   count(DISTINCT cluster_id) FILTER (cluster_id <> '') AS face_clusters, count(DISTINCT cluster_id) FILTER (cluster_id <> '') AS estimated_people, 0 AS noise_count
   FROM obs_v GROUP BY job_id""")
 def _(t):
-    return face_docs(t).select(
-        "job_id", "doc.video", F.size("doc.sampled_videos").alias("clips"), F.size("doc.observations").alias("observations"),
-        F.size("doc.face_clusters").alias("face_clusters"), "doc.estimated_people", "doc.noise_count")
+    lines = face_lines(t)
+    closed = lines.withColumn("line", F.when(F.col("section") == -1, F.regexp_replace("line", ",$", "}")).otherwise(F.col("line")))
+    opening = documents.records(closed, -1, schemas.FACES_DOC, "place", "doc")
+    counts = [
+        documents.records(lines, number, schemas.FACES_DOC[name].dataType.elementType, "place", "r").groupBy("job_id").agg(F.count("r").alias(name))
+        for number, name in enumerate(("face_clusters", "observations"))]
+    every = opening.join(counts[0], "job_id", "left").join(counts[1], "job_id", "left")
+    return every.select(
+        "job_id", "doc.video", F.size("doc.sampled_videos").alias("clips"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("observations", "face_clusters")],
+        "doc.estimated_people", "doc.noise_count")
 
 
 @query("s8_detections", DETECTED + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS ord, name, transcript, location, name_spelling FROM r3""")
@@ -151,8 +154,8 @@ def _(t):
     fields = [f.name for f in schemas.DETECTIONS if f.name not in ("job_id", "ord")]
     rows = detections(t)
     record = F.struct(*[F.col(c) for c in fields if c in rows.columns])
-    texts = rows.groupBy("job_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", record.alias("d")))), lambda x: x["d"])).alias("value"))
-    return documents.detections(documents.parse(texts, documents.DETECTIONS_DOC)).select(
+    lines = rows.select("job_id", F.lit(0).alias("section"), "ord", F.to_json(record).alias("line"))
+    return documents.detection_rows(documents.records(lines, 0, documents.DETECTIONS_DOC.elementType, "ord", "d")).select(
         "job_id", "ord", "name", "transcript", *[F.coalesce(c, F.lit("")).alias(c) for c in ("location", "name_spelling")])
 
 
@@ -160,8 +163,7 @@ def _(t):
 def _(t):
     rows = detections(t)
     lines = sinks.spoken_names_document(t.label, rows, rows.select("job_id").distinct())
-    docs = parsed(lines, "labels map<string,string>, all_detections array<struct<name:string,timestamp:double>>")
-    found = docs.select("job_id", F.posexplode("doc.all_detections").alias("place", "d"))
+    found = documents.records(lines, 0, "name string, timestamp double", "place", "d")
     return found.select("job_id", "place", "d.name", F.round("d.timestamp", 1).alias("ts_s"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from rollcall import schemas
+from rollcall.operators.ordered import number_sorted
 
 
 def _job_of(path: Column) -> Column:
@@ -35,13 +36,26 @@ def parse(texts: DataFrame, schema: DataType) -> DataFrame:
     return texts.select("job_id", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("doc"))
 
 
+def records(lines: DataFrame, section: int, schema: DataType, place: str, record: str) -> DataFrame:
+    """(job_id, place, record) of one section of a document's numbered lines, numbered from 0 in document order.
+
+    A line holds one record after its comma, so each is parsed where it is and no job's document is put together.
+    """
+    inner = lines.where((F.col("section") == section) & (F.abs("ord") < 2**62))
+    numbered = number_sorted(inner.select("job_id", F.col("ord").alias("_ord"), F.regexp_replace("line", "^,", "").alias("line")), ["job_id"], ["_ord"], place)
+    return numbered.select("job_id", place, F.from_json("line", schema, {"mode": "FAILFAST"}).alias(record))
+
+
 def _box(values: Column) -> Column:
     return F.struct(*[F.get(values, F.lit(i)).alias(side) for i, side in enumerate(("x1", "y1", "x2", "y2"))])
 
 
 def observations(docs: DataFrame) -> DataFrame:
     """Observations of parsed faces documents, in document order."""
-    rows = docs.select("job_id", F.posexplode("doc.observations").alias("obs_id", "o"))
+    return observation_rows(docs.select("job_id", F.posexplode("doc.observations").alias("obs_id", "o")))
+
+
+def observation_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "job_id", F.col("obs_id").cast("long").alias("obs_id"), F.coalesce("o.source_video", F.lit("")).alias("source_video"),
         "o.timestamp", _box(F.col("o.bbox")).alias("bbox"), "o.embedding", "o.lip_openness",
@@ -51,25 +65,37 @@ def observations(docs: DataFrame) -> DataFrame:
 
 def speaker_segments(docs: DataFrame) -> DataFrame:
     """Segments of parsed speakers documents, in document order."""
-    rows = docs.select("job_id", F.posexplode("doc.segments").alias("seg_idx", "s"))
+    return segment_rows(docs.select("job_id", F.posexplode("doc.segments").alias("seg_idx", "s")))
+
+
+def segment_rows(rows: DataFrame) -> DataFrame:
     return rows.select("job_id", F.col("seg_idx").cast("long").alias("seg_idx"), "s.speaker_id", "s.start", "s.end")
 
 
 def mappings(docs: DataFrame) -> DataFrame:
     """Mappings of parsed correlation documents with their place, which decides shared faces."""
-    rows = docs.select("job_id", F.posexplode("doc.speaker_face_mappings").alias("mapping_order", "m"))
+    return mapping_rows(docs.select("job_id", F.posexplode("doc.speaker_face_mappings").alias("mapping_order", "m")))
+
+
+def mapping_rows(rows: DataFrame) -> DataFrame:
     return rows.select("job_id", "m.*", F.col("mapping_order").cast("long").alias("mapping_order"))
 
 
 def lower_thirds(docs: DataFrame) -> DataFrame:
     """Lower thirds of parsed correlation documents, in document order."""
-    rows = docs.select("job_id", F.posexplode("doc.lower_thirds").alias("seg_idx", "t"))
+    return third_rows(docs.select("job_id", F.posexplode("doc.lower_thirds").alias("seg_idx", "t")))
+
+
+def third_rows(rows: DataFrame) -> DataFrame:
     return rows.select("job_id", F.col("seg_idx").cast("long").alias("seg_idx"), "t.*")
 
 
 def detections(docs: DataFrame) -> DataFrame:
     """Detections of parsed documents, in document order."""
-    rows = docs.select("job_id", F.posexplode("doc").alias("ord", "d"))
+    return detection_rows(docs.select("job_id", F.posexplode("doc").alias("ord", "d")))
+
+
+def detection_rows(rows: DataFrame) -> DataFrame:
     return rows.select("job_id", F.col("ord").cast("long").alias("ord"), "d.*")
 
 

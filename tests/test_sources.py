@@ -156,3 +156,17 @@ def test_store_and_load_prunes_buckets(spark, tmp_path):
     assert some.count() == 20
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "job_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_records_of_lines_need_no_whole_document(spark):
+    from pyspark.sql import functions as F
+
+    from rollcall import schemas
+    from rollcall.sources import documents, sinks
+
+    segments = spark.createDataFrame([(j, 7 * k, f"s, {k}", k + 0.5, k + 1.5) for j in "ab" for k in range(9)], "job_id string, seg_idx long, speaker_id string, start double, end double")
+    lines = sinks.speakers_document(segments, segments.select("job_id").distinct())
+    texts = lines.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "line"))), lambda p: p["line"]), "\n").alias("value"))
+    whole = documents.speaker_segments(documents.parse(texts, schemas.SPEAKERS_DOC))
+    each = documents.segment_rows(documents.records(lines, 0, schemas.SPEAKERS_DOC["segments"].dataType.elementType, "seg_idx", "s"))
+    assert sorted(each.select(*whole.columns).collect()) == sorted(whole.collect()) and each.count() == 18
