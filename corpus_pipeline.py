@@ -9,7 +9,7 @@ from rollcall.llm.shared import stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labels of documents that are not held out."""
+    """Documents that the classifier accepts; it learns from the labels of documents that are not held out. Without any it keeps all."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.accepted(docs, model)
 

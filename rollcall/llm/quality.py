@@ -76,6 +76,7 @@ class Model:
 
     pull: np.ndarray
     bias: float
+    learned: bool = True  # whether there was a labelled document to learn from
 
     def score(self, text: str) -> float:
         total, n = 0.0, 0
@@ -111,7 +112,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1, epochs:
         bias -= 0.1 * pace * wrong
         vectors[ids] = own - pace * share / max(float((share * share).sum()), 1e-9) * back
     towards = weights[:, 1] - weights[:, 0]
-    return Model((vectors @ towards).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((vectors @ towards).astype(np.float32), float(bias[1] - bias[0]), bool(rows))
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -159,7 +160,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
-    """The documents that score at least ``least``, with the columns of ``docs``."""
+    """The documents that score at least ``least``, with the columns of ``docs``; all of them if the model saw no labelled document."""
+    if not model.learned:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_accepted_rows, model=shared, least=least), docs.schema)
 

@@ -55,3 +55,12 @@ def test_features_do_not_depend_on_labels_or_pieces(monkeypatch):
     monkeypatch.setattr(quality, "PIECE_BYTES", 4096)
     parts = dict(zip(*map(list, quality.counted(text)), strict=True))
     assert sum(abs(whole.get(k, 0) - parts.get(k, 0)) for k in whole | parts) < 0.02 * sum(whole.values())
+
+
+def test_without_labels_the_stage_keeps_all(spark, tmp_path):
+    import corpus_pipeline
+
+    given = spark.createDataFrame([(i, f"text {i}") for i in range(5)] + [(None, None)], "doc_id long, text string")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.keep_quality(spark, given, str(tmp_path))
+    assert kept.columns == given.columns and kept.count() == 6
