@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, embeddings, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree, urls
+from rollcall.llm import bpe, embeddings, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,10 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+@_query
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
