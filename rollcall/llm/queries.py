@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, divergence, embeddings, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree, token_counts, urls
+from rollcall.llm import bpe, divergence, embeddings, minhash, mixing, quality, secrets, simhash, substrings, suffix_tree, token_counts, urls, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,8 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
 FROM r QUALIFY part = 'pair' OR rank <= 10
 """
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group_variants(_table(spark, folder, "documents"))
