@@ -51,7 +51,10 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums (lang, source, term, docs, n) of a task's texts; a text is tokenized once for all its sources."""
+    """Sums (lang, source, term, docs, n) of a task's texts; a text is tokenized once for all its sources.
+
+    Texts come by language and first source, so that the sums of one group are handed on before the next one starts.
+    """
     counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
     holders: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
@@ -69,8 +72,11 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         holders.clear()
 
+    group = None
     for batch in by_bytes(batches, "text"):
         for lang, text, sources in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "sources")), strict=True):
+            if group != (group := (lang, len(sources) > 1, sources[0]["source"])) and not group[1]:
+                yield from flush()
             terms = terms_of(text)
             if not terms:
                 continue
@@ -87,14 +93,15 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for term, k in tally.items():
                     held[term] += k * n
                     documents[term] += n
-        if sum(map(len, counts.values())) > HELD:
-            yield from flush()
+            if len(sources) > 1 and sum(map(len, counts.values())) > HELD or len(sources) == 1 and len(counts[lang, sources[0]["source"]]) > HELD:
+                yield from flush()
     yield from flush()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Occurrences ``n`` of each term in each group, and the group's documents ``docs`` that hold it: (lang, source, term, docs, n)."""
-    rows = distinct_texts(docs).mapInArrow(_count_rows, "lang string, source string, term string, docs long, n long")
+    rows = distinct_texts(docs).sortWithinPartitions("lang", F.size("sources") > 1, F.col("sources")[0]["source"])
+    rows = rows.mapInArrow(_count_rows, "lang string, source string, term string, docs long, n long")
     return rows.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
