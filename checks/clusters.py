@@ -8,7 +8,7 @@ from checks.registry import query
 from checks.sampling import FEATURE, frame_size
 from checks.speakers import R11
 from checks.views import with_views
-from rollcall.operators import clustering, kmeans, vectors
+from rollcall.operators import clustering, kmeans, vectors, ward
 from rollcall.operators.sampling import add_features
 from rollcall.session import cut_lineage
 
@@ -168,6 +168,25 @@ def _(t):
     return moved.select("job_id", "label", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
+# The pairs that merge in the first round of the Ward tree. Equal features are one cluster from the start.
+MERGE_ROUND = OBS + f""",
+f AS (SELECT job_id, obs_id, {FEATURE} AS f FROM obs_v),
+g AS (SELECT job_id, f, min(obs_id) AS node, count(*) AS n FROM f GROUP BY job_id, f),
+p AS (SELECT a.job_id, a.node AS a, b.node AS b, round(a.n * b.n / (a.n + b.n) * pow(list_distance(a.f, b.f), 2), 9) AS cost,
+  (least(a.node, b.node) % 2147483647 * 48271 + greatest(a.node, b.node) % 2147483647 * 69621) % 2147483647 AS tie
+  FROM g a JOIN g b ON b.job_id = a.job_id AND b.node <> a.node),
+best AS (SELECT job_id, a, b, cost FROM (SELECT *, row_number() OVER (PARTITION BY job_id, a ORDER BY cost, tie, b) AS rn FROM p) q WHERE rn = 1)
+SELECT x.job_id, x.b AS absorbed, x.a AS into_node, round(x.cost, 6) AS height FROM best x JOIN best y ON y.job_id = x.job_id AND y.a = x.b AND y.b = x.a
+WHERE x.a < x.b"""
+
+
+@query("c3_ward_merge_round", MERGE_ROUND)
+def _(t):
+    points = features(t).select("job_id", F.col("obs_id").alias("point_id"), F.col("feature").alias("vector"))
+    merges = ward.merge_round(cut_lineage(ward.single_nodes(points)))
+    return merges.select("job_id", "absorbed", F.col("into").alias("into_node"), F.round("cost", 6).alias("height"))
+
+
 @query("c3_k_cluster_faces")
 def _(t):
     return clustering.k_cluster_faces(features(t), clustering.person_count(clustering.faces_per_timestamp(t.obs)))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from rollcall.operators.density import EPS, density_components
 from rollcall.operators.joins import join_facts
-from rollcall.operators.kmeans import ROUNDS, farthest_first, kmeans, prepare_points
 from rollcall.operators.ordered import number_rows
 from rollcall.operators.sampling import add_features
 from rollcall.operators.vectors import centroids, nearest_cluster
+from rollcall.operators.ward import ward_clusters
 from rollcall.session import cut_lineage
 
 NOISE = -1
@@ -42,35 +42,23 @@ def frame_seeds(features: DataFrame, people: DataFrame) -> DataFrame:
     )
 
 
-def k_cluster_faces(features: DataFrame, people: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(job_id, obs_id, label) from k-means with as many clusters as people; one cluster for one person."""
-    several = people.filter("people > 1")
-    seeds = cut_lineage(frame_seeds(features, several))
-    points = prepare_points(
-        join_facts(features, several, ["job_id"], spread=["obs_id"]).select(
-            "job_id", F.col("obs_id").alias("point_id"), F.col("feature").alias("vector")
-        )
-    )
-    missing = several.join(seeds.groupBy("job_id").agg(F.count(F.lit(1)).alias("have")), "job_id").agg(
-        F.max(F.col("people") - F.col("have")).alias("missing")
-    ).first()["missing"]
-    if missing:
-        seeds = farthest_first(points, seeds, several.select("job_id", F.col("people").alias("k")), missing)
-    labelled = kmeans(points, seeds, rounds).withColumnRenamed("point_id", "obs_id")
+def k_cluster_faces(features: DataFrame, people: DataFrame) -> DataFrame:
+    """(job_id, obs_id, label) by Ward linkage with as many clusters as people; one cluster for one person."""
+    several = people.filter("people > 1").select("job_id", F.col("people").alias("k"))
+    points = features.select("job_id", F.col("obs_id").alias("point_id"), F.col("feature").alias("vector"))
+    labelled = ward_clusters(points, several).withColumnRenamed("point_id", "obs_id")
     alone = features.join(people.filter("people <= 1"), "job_id", "left_semi").select(
         "job_id", "obs_id", F.lit(0).alias("label")
     )
     return labelled.unionByName(alone)
 
 
-def k_cluster_voices(windows: DataFrame, counts: DataFrame, max_k: int, rounds: int = ROUNDS) -> DataFrame:
-    """V3: (job_id, win_idx, label) from k-means seeded at the first window and then farthest first."""
-    points = prepare_points(windows.select(
+def k_cluster_voices(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """V3: (job_id, win_idx, label) by Ward linkage; ``counts`` has the number of speakers ``k`` of each job."""
+    points = windows.select(
         "job_id", F.col("win_idx").cast("long").alias("point_id"), F.col("embedding").cast("array<double>").alias("vector")
-    ))
-    first = points.groupBy("job_id").agg(F.min_by("vector", "point_id").alias("vector")).select("job_id", F.lit(0).alias("label"), "vector")
-    seeds = farthest_first(points, first, counts.select("job_id", "k"), max_k - 1)
-    return kmeans(points, seeds, rounds).withColumnRenamed("point_id", "win_idx")
+    )
+    return ward_clusters(points, counts.select("job_id", "k")).withColumnRenamed("point_id", "win_idx")
 
 
 def renumber(labels: DataFrame) -> DataFrame:

@@ -54,10 +54,10 @@ def number_observations(faces: DataFrame, clip_table: DataFrame) -> DataFrame:
     return numbered.drop("clip_idx", "pass", "face_idx")
 
 
-def speak(windows: DataFrame, people: DataFrame, max_speakers: int, most_people: int) -> DataFrame:
+def speak(windows: DataFrame, people: DataFrame, max_speakers: int) -> DataFrame:
     """Speaker segments from voice windows: V2, V3, V4, V5."""
     counts = voices.speaker_counts(windows, people, max_speakers)
-    labels = cut_lineage(clustering.k_cluster_voices(windows, counts, max(max_speakers, most_people, 2)))
+    labels = cut_lineage(clustering.k_cluster_voices(windows, counts))
     timed = windows.select("job_id", "win_idx", "timestamp").join(labels, ["job_id", "win_idx"])
     return voices.segments_from_labels(cut_lineage(voices.smooth_labels(timed)))
 
@@ -116,8 +116,7 @@ def analyse(footage: Footage, max_speakers: int = 6, count_mode: str = "timestam
         observations = number_observations(sampling.observations_from_landmarks(footage.landmarks), footage.clips)
     observations = cut_lineage(clustering.cluster_faces(cut_lineage(observations), sampling.frame_sizes(footage.clips), count_mode))
     people = cut_lineage(report.estimated_people(clustering.cluster_summary(observations)))
-    most = people.agg(F.max("estimated_people")).first()[0] or 2
-    segments = cut_lineage(speak(footage.voice_windows, people, max_speakers, most))
+    segments = cut_lineage(speak(footage.voice_windows, people, max_speakers))
     return _finish(observations, segments, footage.frames, footage.transcript_segments, footage.clips)
 
 

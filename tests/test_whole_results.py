@@ -40,7 +40,7 @@ def test_voices_start_at_their_first_window(spark):
     windows = [("late", w, [1.0, 0.0] if w < 5 else [0.0, 1.0]) for w in range(1, 9)] + [("uncounted", w, [1.0, 0.1]) for w in range(3)]
     df = spark.createDataFrame(windows, "job_id string, win_idx int, embedding array<double>")
     counts = spark.createDataFrame([("late", 2)], "job_id string, k int")
-    rows = clustering.k_cluster_voices(df, counts, 2).collect()
+    rows = clustering.k_cluster_voices(df, counts).collect()
     assert [r.label for r in sorted(rows, key=lambda r: r.win_idx) if r.job_id == "late"] == [0] * 4 + [1] * 4
     assert [r.label for r in rows if r.job_id == "uncounted"] == [0] * 3
 
@@ -86,7 +86,7 @@ def test_task_code_needs_no_package_on_the_workers(tmp_path):
         "spark = build_session('elsewhere', master='local[2]', partitions=2)\n"
         "df = spark.createDataFrame([('j', w, [float(w > 1), 1.0]) for w in range(4)], 'job_id string, win_idx int, embedding array<double>')\n"
         "k = spark.createDataFrame([('j', 2)], 'job_id string, k int')\n"
-        "print('LABELS', sorted((r.win_idx, r.label) for r in clustering.k_cluster_voices(df, k, 2).collect()))\n"
+        "print('LABELS', sorted((r.win_idx, r.label) for r in clustering.k_cluster_voices(df, k).collect()))\n"
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "LABELS [(0, 0), (1, 0), (2, 1), (3, 1)]" in done.stdout, done.stderr[-2000:]
