@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.names import HEARD, STORED, details_cte, stored
 from checks.registry import query
 from checks.speakers import J6, R2, SEG, sheet
 from checks.views import with_views
-from rollcall import schemas
 from rollcall.operators import clustering, correlate, names, report
-from rollcall.sources import documents, sinks
+from rollcall.session import shared_folder
+from rollcall.sources import documents, sinks, structural
 
 # Detections: T19 rows of every segment, with some columns missing on purpose.
 DETECTED = HEARD + ",\n" + STORED + """,
@@ -91,11 +93,21 @@ def _(t):
     return sinks.labels_document(t.label)
 
 
+#: Part files of one job's folder are one document.
+PARTS = "part-*"
+
+
+def written(t, lines):
+    """Writes numbered document lines as files, one folder per job, and returns where."""
+    folder = f"{shared_folder(t.spark)}/documents-{uuid.uuid4().hex}"
+    sinks.write_lines(lines, ["section", "ord"], folder)
+    return folder
+
+
 @query("s5_speaker_segments", SEG + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) - 1 AS seg_idx, speaker_id, start_s, end_s FROM seg_v""")
 def _(t):
-    lines = sinks.speakers_document(t.seg, t.seg.select("job_id").distinct())
-    found = documents.records(lines, 0, schemas.SPEAKERS_DOC["segments"].dataType.elementType, "seg_idx", "s")
-    return documents.segment_rows(found).withColumnsRenamed({"start": "start_s", "end": "end_s"})
+    folder = written(t, sinks.speakers_document(t.seg, t.seg.select("job_id").distinct()))
+    return documents.read_speaker_segments(t.spark, folder, PARTS).withColumnsRenamed({"start": "start_s", "end": "end_s"})
 
 
 def correlation_lines(t):
@@ -106,16 +118,15 @@ def correlation_lines(t):
 @query("s6_mappings", J6 + """ SELECT job_id, speaker_id, face_id, round(confidence, 9) AS confidence, evidence_segments,
   row_number() OVER (PARTITION BY job_id ORDER BY mapping_order) - 1 AS mapping_order FROM j5""")
 def _(t):
-    found = documents.records(correlation_lines(t), 0, schemas.CORRELATION_DOC["speaker_face_mappings"].dataType.elementType, "mapping_order", "m")
-    return documents.mapping_rows(found).withColumn("confidence", F.round("confidence", 9))
+    rows = documents.read_mappings(t.spark, written(t, correlation_lines(t)), PARTS)
+    return rows.withColumn("confidence", F.round("confidence", 9))
 
 
 @query("s6_lower_thirds", J6 + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) - 1 AS seg_idx, start_s, end_s, speaker_id, face_id, name,
   round(confidence, 9) AS confidence FROM j6""")
 def _(t):
-    found = documents.records(correlation_lines(t), 1, schemas.CORRELATION_DOC["lower_thirds"].dataType.elementType, "seg_idx", "t")
-    rows = documents.third_rows(found).withColumnsRenamed({"start": "start_s", "end": "end_s"})
-    return rows.withColumn("confidence", F.round("confidence", 9))
+    rows = documents.read_lower_thirds(t.spark, written(t, correlation_lines(t)), PARTS)
+    return rows.withColumnsRenamed({"start": "start_s", "end": "end_s"}).withColumn("confidence", F.round("confidence", 9))
 
 
 def face_lines(t):
@@ -127,8 +138,7 @@ def face_lines(t):
 @query("s4_observations", with_views("obs_v") + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY obs_id) - 1 AS obs_id, source_video, ts_s, x1, y1, x2, y2,
   round(CAST(embedding[1] AS DOUBLE), 4) AS first_value, len(embedding) AS dimensions, round(lip_openness, 6) AS lip, cluster_id FROM obs_v""")
 def _(t):
-    found = documents.records(face_lines(t), 1, schemas.FACES_DOC["observations"].dataType.elementType, "obs_id", "o")
-    return documents.observation_rows(found).select(
+    return documents.read_observations(t.spark, written(t, face_lines(t)), PARTS).select(
         "job_id", "obs_id", "source_video", F.col("timestamp").alias("ts_s"), "bbox.*", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value"),
         F.size("embedding").alias("dimensions"), F.round("lip_openness", 6).alias("lip"), "cluster_id")
 
@@ -137,34 +147,31 @@ def _(t):
   count(DISTINCT cluster_id) FILTER (cluster_id <> '') AS face_clusters, count(DISTINCT cluster_id) FILTER (cluster_id <> '') AS estimated_people, 0 AS noise_count
   FROM obs_v GROUP BY job_id""")
 def _(t):
-    lines = face_lines(t)
-    closed = lines.withColumn("line", F.when(F.col("section") == -1, F.regexp_replace("line", ",$", "}")).otherwise(F.col("line")))
-    opening = documents.records(closed, -1, schemas.FACES_DOC, "place", "doc")
-    counts = [
-        documents.records(lines, number, schemas.FACES_DOC[name].dataType.elementType, "place", "r").groupBy("job_id").agg(F.count("r").alias(name))
-        for number, name in enumerate(("face_clusters", "observations"))]
-    every = opening.join(counts[0], "job_id", "left").join(counts[1], "job_id", "left")
+    folder = written(t, face_lines(t))
+    clusters, rows = documents.read_clusters(t.spark, folder, PARTS), documents.read_observations(t.spark, folder, PARTS)
+    every = documents.read_face_envelopes(t.spark, folder, PARTS).join(
+        clusters.groupBy("job_id").agg(F.count("cluster_id").alias("face_clusters")), "job_id", "left"
+    ).join(rows.groupBy("job_id").agg(F.count("timestamp").alias("observations")), "job_id", "left")
     return every.select(
-        "job_id", "doc.video", F.size("doc.sampled_videos").alias("clips"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("observations", "face_clusters")],
-        "doc.estimated_people", "doc.noise_count")
+        "job_id", "video", F.size("sampled_videos").alias("clips"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("observations", "face_clusters")],
+        "estimated_people", "noise_count")
 
 
 @query("s8_detections", DETECTED + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS ord, name, transcript, location, name_spelling FROM r3""")
 def _(t):
-    fields = [f.name for f in schemas.DETECTIONS if f.name not in ("job_id", "ord")]
     rows = detections(t)
-    record = F.struct(*[F.col(c) for c in fields if c in rows.columns])
-    lines = rows.select("job_id", F.lit(0).alias("section"), "ord", F.to_json(record).alias("line"))
-    return documents.detection_rows(documents.records(lines, 0, documents.DETECTIONS_DOC.elementType, "ord", "d")).select(
+    folder = written(t, sinks.detections_document(rows, rows.select("job_id").distinct()))
+    return documents.read_detections(t.spark, folder, PARTS).select(
         "job_id", "ord", "name", "transcript", *[F.coalesce(c, F.lit("")).alias(c) for c in ("location", "name_spelling")])
 
 
 @query("k8_spoken_names_document", DETECTED + """ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS place, name, ts_s FROM r3""")
 def _(t):
     rows = detections(t)
-    lines = sinks.spoken_names_document(t.label, rows, rows.select("job_id").distinct())
-    found = documents.records(lines, 0, "name string, timestamp double", "place", "d")
-    return found.select("job_id", "place", "d.name", F.round("d.timestamp", 1).alias("ts_s"))
+    folder = written(t, sinks.spoken_names_document(t.label, rows, rows.select("job_id").distinct()))
+    found, _ = structural.read_documents(t.spark, f"{folder}/*/{PARTS}", {"all_detections"})
+    parsed = F.from_json("text", "name string, timestamp double", {"mode": "FAILFAST"})
+    return found.select("job_id", "place", parsed.alias("d")).select("job_id", "place", "d.name", F.round("d.timestamp", 1).alias("ts_s"))
 
 
 @query("k7_intro_roster", DETECTED + """ SELECT job_id, ord, name, ts_s, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, (s % 3600) // 60, s % 60)

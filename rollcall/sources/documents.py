@@ -1,7 +1,8 @@
 """Stored JSON documents, one folder per job, as tables.
 
-A document is one file and so one task reads it; jobs are read in parallel. Large deployments keep the
-tables in Parquet (``store`` and ``load`` in ``tables.py``) and use these readers for exchange only.
+Documents with records are cut inside the splits of their files (``structural.py``), so one of any size spreads over many
+tasks; clip lists and labels, which have one entry per clip or face, are parsed as a whole. ``name`` may be a pattern: files
+of one folder are one document in the order of their names, as ``sinks.write_lines`` leaves them.
 """
 
 from __future__ import annotations
@@ -9,15 +10,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from rollcall import schemas
 from rollcall.operators.ordered import number_sorted
-
-
-def _job_of(path: Column) -> Column:
-    folder = F.url_decode(F.regexp_extract(path, "([^/]+)/[^/]+$", 1))
-    return F.regexp_replace(folder, "^job_id=", "")
+from rollcall.sources.structural import ROOT, job_of, read_documents
 
 
 def _read(spark: SparkSession, base: str, name: str, schema: DataType) -> DataFrame:
@@ -28,7 +25,7 @@ def _read(spark: SparkSession, base: str, name: str, schema: DataType) -> DataFr
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], StructType().add("job_id", "string").add("doc", schema))
-    return parse(texts.select(_job_of(F.col("_metadata.file_path")).alias("job_id"), "value"), schema)
+    return parse(texts.select(job_of(F.col("_metadata.file_path")).alias("job_id"), "value"), schema)
 
 
 def parse(texts: DataFrame, schema: DataType) -> DataFrame:
@@ -102,37 +99,55 @@ def detection_rows(rows: DataFrame) -> DataFrame:
 DETECTIONS_DOC = ArrayType(StructType([f for f in schemas.DETECTIONS if f.name not in ("job_id", "ord")]))
 
 
-def read_observations(spark: SparkSession, base: str) -> DataFrame:
-    return observations(_read(spark, base, "faces.json", schemas.FACES_DOC))
+def _read_records(spark: SparkSession, files: str, doc: StructType | ArrayType, section: str, place: str, record: str) -> DataFrame:
+    """(job_id, place, record) of one section of all documents; no file gives no rows, a malformed one ends the read with its error."""
+    members = {ROOT: doc} if isinstance(doc, ArrayType) else {f.name: f.dataType for f in doc}
+    wanted = {name for name, kind in members.items() if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)}
+    schema = members[section].elementType
+    found = read_documents(spark, files, wanted)
+    if found is None:
+        return spark.createDataFrame([], StructType().add("job_id", "string").add(place, "long").add(record, schema))
+    return found[0].filter(F.col("section") == section).select("job_id", F.col("place").alias(place), F.from_json("text", schema, {"mode": "FAILFAST"}).alias(record))
+
 
+def read_observations(spark: SparkSession, base: str, name: str = "faces.json") -> DataFrame:
+    """Observations in document order."""
+    return observation_rows(_read_records(spark, f"{base}/*/{name}", schemas.FACES_DOC, "observations", "obs_id", "o"))
 
-def read_clusters(spark: SparkSession, base: str) -> DataFrame:
-    rows = _read(spark, base, "faces.json", schemas.FACES_DOC).select("job_id", F.explode("doc.face_clusters").alias("c"))
+
+def read_clusters(spark: SparkSession, base: str, name: str = "faces.json") -> DataFrame:
+    rows = _read_records(spark, f"{base}/*/{name}", schemas.FACES_DOC, "face_clusters", "place", "c")
     return rows.select(
         "job_id", "c.cluster_id", "c.sample_count", _box(F.col("c.representative_bbox")).alias("representative_bbox"), "c.thumbnail_path"
     )
 
 
-def read_face_envelopes(spark: SparkSession, base: str) -> DataFrame:
-    return _read(spark, base, "faces.json", schemas.FACES_DOC).select(
-        "job_id", "doc.video", "doc.sampled_videos", "doc.noise_count", "doc.estimated_people"
-    )
+def read_face_envelopes(spark: SparkSession, base: str, name: str = "faces.json") -> DataFrame:
+    """The plain members of faces documents; the arrays of records are not put together for them."""
+    plain = StructType([f for f in schemas.FACES_DOC if f.name in ("video", "sampled_videos", "noise_count", "estimated_people")])
+    found = read_documents(spark, f"{base}/*/{name}", {"face_clusters", "observations"})
+    if found is None:
+        return spark.createDataFrame([], StructType([StructField("job_id", StringType()), *plain]))
+    return parse(found[1].withColumnRenamed("text", "value"), plain).select("job_id", "doc.*")
 
 
 def read_clip_lists(spark: SparkSession, base: str) -> DataFrame:
     return _read(spark, base, "clips.json", schemas.CLIPS_DOC).select("job_id", "doc.*")
 
 
-def read_speaker_segments(spark: SparkSession, base: str) -> DataFrame:
-    return speaker_segments(_read(spark, base, "speakers.json", schemas.SPEAKERS_DOC))
+def read_speaker_segments(spark: SparkSession, base: str, name: str = "speakers.json") -> DataFrame:
+    """Segments in document order."""
+    return segment_rows(_read_records(spark, f"{base}/*/{name}", schemas.SPEAKERS_DOC, "segments", "seg_idx", "s"))
 
 
-def read_mappings(spark: SparkSession, base: str) -> DataFrame:
-    return mappings(_read(spark, base, "correlation.json", schemas.CORRELATION_DOC))
+def read_mappings(spark: SparkSession, base: str, name: str = "correlation.json") -> DataFrame:
+    """Mappings with their place, which decides shared faces."""
+    return mapping_rows(_read_records(spark, f"{base}/*/{name}", schemas.CORRELATION_DOC, "speaker_face_mappings", "mapping_order", "m"))
 
 
-def read_lower_thirds(spark: SparkSession, base: str) -> DataFrame:
-    return lower_thirds(_read(spark, base, "correlation.json", schemas.CORRELATION_DOC))
+def read_lower_thirds(spark: SparkSession, base: str, name: str = "correlation.json") -> DataFrame:
+    """Lower thirds in document order."""
+    return third_rows(_read_records(spark, f"{base}/*/{name}", schemas.CORRELATION_DOC, "lower_thirds", "seg_idx", "t"))
 
 
 def read_labels(spark: SparkSession, base: str) -> DataFrame:
@@ -140,6 +155,6 @@ def read_labels(spark: SparkSession, base: str) -> DataFrame:
     return _read(spark, base, "labels.json", schemas.LABELS_DOC).select("job_id", F.explode("doc").alias("face_id", "name"))
 
 
-def read_detections(spark: SparkSession, base: str) -> DataFrame:
-    """Jobs without the file have no detections."""
-    return detections(_read(spark, base, "all_detected_names.json", DETECTIONS_DOC))
+def read_detections(spark: SparkSession, base: str, name: str = "all_detected_names.json") -> DataFrame:
+    """Detections in document order; jobs without the file have none."""
+    return detection_rows(_read_records(spark, f"{base}/*/{name}", DETECTIONS_DOC, ROOT, "ord", "d"))

@@ -182,6 +182,16 @@ def spoken_names_document(labels: DataFrame, detections: DataFrame, jobs: DataFr
     return array_document(jobs, {"all_detections": (detections, record)}, stored)
 
 
+def detections_document(detections: DataFrame, jobs: DataFrame) -> DataFrame:
+    """K8: all detections (with a unique integer ``ord``) of each job as one array."""
+    record = F.struct(*[c for c in detections.columns if c not in ("job_id", "ord", "event_ord", "event_id", "seg_idx")])
+    firsts = detections.groupBy("job_id").agg(F.min("ord").alias("_first"))
+    rows = join_facts(detections.select("job_id", F.col("ord").cast("long").alias("ord"), F.to_json(record).alias("_json")), firsts, ["job_id"], spread=["ord"])
+    body = rows.select("job_id", F.lit(0).alias("section"), "ord", F.concat(F.when(F.col("ord") > F.col("_first"), ",").otherwise(""), "_json").alias("line"))
+    edges = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit(line).alias("line")) for s, line in ((-1, "["), (1, "]"))]))
+    return body.unionByName(jobs.select("job_id", edges.alias("_edge")).select("job_id", "_edge.*"))
+
+
 def screengrab_labels(faces: DataFrame, labels: DataFrame) -> DataFrame:
     """K9 rows: chosen time, its timecode and the label of each visible face."""
     given = labels.select("job_id", F.col("face_id").alias("cluster_id"), F.col("name").alias("_label"))
