@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.scalars import artifact_name
-from rollcall.operators.joins import interval_join, join_facts
+from rollcall.operators.joins import around, interval_join, join_facts
 from rollcall.operators.sampling import bright_frames
 
 # Fixed values of the clip rules, in seconds.
@@ -21,7 +21,6 @@ REALIGNED_VIDEO_PRE_ROLL, REALIGNED_AUDIO_PRE_ROLL = 3.0, 2.0
 SEARCH_OFFSETS = [
     0.0, 0.5, 1.0, -1.0, 2.0, -2.0, 3.0, -3.0, 5.0, -5.0, 10.0, 15.0, 20.0, 30.0, 45.0, 60.0, 90.0, 120.0,
 ]
-NEAR_SEARCH = 10.0  # stages up to this offset are searched for every event first
 
 EVENT = ["job_id", "event_id"]
 
@@ -129,37 +128,25 @@ def _search_stages() -> list[tuple[int, float, float]]:
     return [(n, low, high) for n, (low, high) in enumerate(zip(ends, SEARCH_OFFSETS)) if high >= low]
 
 
-def _bright_in_stages(events: DataFrame, seconds: DataFrame, stages: list[tuple[int, float, float]]) -> DataFrame:
-    """Per event the first bright second of the first stage that has one."""
-    at = F.col("timestamp")
-    bounds = []
-    for number, low, high in stages:
-        bounds += [F.floor(F.greatest(at + low, F.lit(0.0))).alias(f"_lo{number}"), (at + high).cast("long").alias(f"_hi{number}")]
-    first, last = min(low for _, low, _ in stages), max(high for _, _, high in stages)
-    spans = events.select(
-        *EVENT, "source_video", *bounds,
-        F.floor(F.greatest(at + first, F.lit(0.0))).cast("double").alias("_lo"), (at + last).alias("_hi"),
-    )
-    pairs = interval_join(seconds, spans, ["job_id", "source_video"], "second", "_lo", "_hi", max(last - first, 1.0), ["second"])
-    stage = F.lit(None).cast("int")
-    for number, _, _ in reversed(stages):
-        stage = F.when(F.col("second").between(F.col(f"_lo{number}"), F.col(f"_hi{number}")), F.lit(number)).otherwise(stage)
-    staged = pairs.select(*EVENT, "second", stage.alias("_stage")).filter(F.col("_stage").isNotNull())
-    return staged.groupBy(*EVENT).agg(F.min_by("second", F.struct("_stage", "second")).alias("visible_s"))
-
-
 def first_visible(events: DataFrame, frames: DataFrame) -> DataFrame:
     """The first bright second, searched in stages that widen around the event.
 
-    A stage runs from the previous offset to its own, so the stage after a negative offset looks back a
-    little. Most events are settled within ten seconds; only the rest meet the two minutes after that.
+    A stage runs from the previous offset to its own, so the stage after a negative offset looks back a little. Each
+    stage asks for the next bright second from its start on; the first stage whose answer lies inside it settles the event.
     """
     seconds = bright_frames(frames).select("job_id", "source_video", "second").distinct()
-    stages = _search_stages()
-    near = _bright_in_stages(events, seconds, [s for s in stages if s[2] <= NEAR_SEARCH])
-    open_events = events.join(near, EVENT, "left_anti")
-    far = _bright_in_stages(open_events, seconds, [s for s in stages if s[2] > NEAR_SEARCH])
-    return events.join(near.unionByName(far), EVENT, "left")
+    at = F.col("timestamp")
+    stages = F.array(*[
+        F.struct(
+            F.lit(number).alias("stage"), F.floor(F.greatest(at + low, F.lit(0.0))).cast("double").alias("from"),
+            (at + high).cast("long").cast("double").alias("to"),
+        )
+        for number, low, high in _search_stages()
+    ])
+    probes = events.select(*EVENT, "source_video", F.explode(stages).alias("_s")).select(*EVENT, "source_video", "_s.*")
+    found = around(probes, seconds, ["job_id", "source_video"], "from", "second").filter("after <= to")
+    settled = found.groupBy(*EVENT).agg(F.min_by("after", "stage").alias("visible_s"))
+    return events.join(settled, EVENT, "left")
 
 
 def needs_realign(visible: Column, timestamp: Column, face_id: Column, lip_score: Column) -> Column:

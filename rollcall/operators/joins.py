@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollcall.session import salt_count
+from rollcall.session import cut_lineage, salt_count
 
 
 def _salts(n: int) -> Column:
@@ -58,6 +59,39 @@ def interval_join(
     return left.join(right, keys).filter(inside).drop("_slot", "_salt")
 
 
+def around(probes: DataFrame, targets: DataFrame, on: Sequence[str], probe_time: str, target_time: str) -> DataFrame:
+    """Probes with ``before`` and ``after``: the last target time up to their own and the first one from it on.
+
+    Probes and targets are merged: dealt into ranges of key and time, each range passed once in order. What lies beyond a
+    range's borders comes from a table with one row per range, so a hot key spreads over many ranges and no pair is made.
+    A target at the probe's own time is both; probes without a key or time are left out.
+    """
+    rest = [c for c in probes.columns if c not in on and c != probe_time]
+    told = probes.select(*on, F.col(probe_time).cast("double").alias("_at"), F.struct(F.lit(1).alias("_kind"), *rest).alias("_probe"))
+    times = targets.select(*on, F.col(target_time).cast("double").alias("_at"), F.lit(None).cast(told.schema["_probe"].dataType).alias("_probe"))
+    known = F.col("_at").isNotNull()
+    for key in on:
+        known = known & F.col(key).isNotNull()
+    ranged = told.unionByName(times).filter(known).repartitionByRange(*on, "_at").withColumn("_range", F.spark_partition_id())
+    rows = cut_lineage(ranged)
+    time = F.when(F.col("_probe").isNull(), F.col("_at"))
+    within, ranges = W.partitionBy(*on, "_range"), W.partitionBy(*on)
+    probe_last = F.col("_probe").isNotNull()
+    ends = rows.groupBy(*on, "_range").agg(F.min(time).alias("_first"), F.max(time).alias("_last")).select(
+        *on, "_range", F.max("_last").over(ranges.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("_first").over(ranges.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)).alias("_later"),
+    )
+    passed = rows.withColumns({
+        "_before": F.last(time, ignorenulls=True).over(within.orderBy("_at", probe_last).rowsBetween(W.unboundedPreceding, 0)),
+        "_after": F.last(time, ignorenulls=True).over(within.orderBy(F.desc("_at"), probe_last).rowsBetween(W.unboundedPreceding, 0)),
+    }).filter(F.col("_probe").isNotNull())
+    before = F.coalesce("_before", "_earlier")
+    return passed.join(ends, [*on, "_range"]).select(
+        *on, F.col("_at").alias(probe_time), *[F.col("_probe")[c].alias(c) for c in rest],
+        before.alias("before"), F.when(before == F.col("_at"), before).otherwise(F.coalesce("_after", "_later")).alias("after"),
+    )
+
+
 def nearest_time(
     probes: DataFrame,
     targets: DataFrame,
@@ -68,19 +102,11 @@ def nearest_time(
     tolerance_s: float,
     matched: str,
 ) -> DataFrame:
-    """Probe ids with the closest target time within the tolerance (earlier time on ties).
-
-    Target times are reduced to distinct values first, so repeated rows at one time cost nothing.
-    """
-    times = targets.select(*on, F.col(target_time).alias(matched)).distinct()
-    spans = probes.select(
-        *dict.fromkeys([*on, *probe_id]),
-        F.col(probe_time).alias("_at"),
-        (F.col(probe_time) - tolerance_s).alias("_lo"),
-        (F.col(probe_time) + tolerance_s).alias("_hi"),
-    )
-    pairs = interval_join(times, spans, on, matched, "_lo", "_hi", max(4 * tolerance_s, 1e-3), spread=[matched])
-    gap = F.abs(F.col(matched) - F.col("_at"))
-    return pairs.groupBy(*dict.fromkeys([*on, *probe_id])).agg(
-        F.min_by(matched, F.struct(gap, F.col(matched))).alias(matched)
-    )
+    """Probe ids with the closest target time within the tolerance (earlier time on ties)."""
+    names = list(dict.fromkeys([*on, *probe_id]))
+    found = around(probes.select(*names, F.col(probe_time).alias("_probe_time")), targets, on, "_probe_time", target_time)
+    at = F.col("_probe_time")
+    low = F.when(F.col("before") >= at - tolerance_s, F.col("before"))
+    high = F.when(F.col("after") <= at + tolerance_s, F.col("after"))
+    nearer = F.when(high.isNull() | (at - low <= high - at), low).otherwise(high)
+    return found.select(*names, F.coalesce(nearer, high).alias(matched)).filter(F.col(matched).isNotNull())

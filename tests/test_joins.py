@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators.joins import interval_join, join_facts, nearest_time
+from rollcall.operators.joins import around, interval_join, join_facts, nearest_time
 
 
 def _hot(rng, n):
@@ -43,3 +44,22 @@ def test_join_facts_keeps_left_rows(spark):
     got = join_facts(rows, facts, ["job_id"], ["r"], "left")
     assert got.count() == 51 and got.filter("v IS NULL").count() == 1
     assert got.agg(F.sum("v")).first()[0] == 350
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_around_equals_a_search_of_sorted_times(spark, seed):
+    """One key holds most rows, so its ranges have borders; some keys have only probes or only targets."""
+    rng = random.Random(seed)
+    targets = [(rng.choice("hhhhhhab"), rng.randint(0, 300) / 4) for _ in range(150)] + [("t", 1.0), (None, 2.0), ("a", None)]
+    probes = [(rng.choice("hhhhhhabp"), i, rng.randint(-8, 330) / 4) for i in range(300)] + [(None, 900, 1.0), ("a", 901, None)]
+    p = spark.createDataFrame(probes, "job_id string, e int, at double")
+    t = spark.createDataFrame(targets, "job_id string, seen double")
+    got = {r.e: (r.job_id, r.at, r.before, r.after) for r in around(p, t, ["job_id"], "at", "seen").collect()}
+    want = {}
+    for key, e, at in probes:
+        if key is not None and at is not None:
+            times = [x for k, x in targets if k == key and x is not None]
+            want[e] = (key, at, max((x for x in times if x <= at), default=None), min((x for x in times if x >= at), default=None))
+    assert got == want
+    plan = around(p, t, ["job_id"], "at", "seen")._jdf.queryExecution().toString()
+    assert "_slot" not in plan and "_salt" not in plan and "explode" not in plan.lower()
