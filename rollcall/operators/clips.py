@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.scalars import artifact_name
 from rollcall.operators.joins import around, interval_join, join_facts
 from rollcall.operators.sampling import bright_frames
+from rollcall.session import cut_lineage
 
 # Fixed values of the clip rules, in seconds.
 PRE_ROLL = 4.0
@@ -23,6 +24,8 @@ SEARCH_OFFSETS = [
 ]
 
 EVENT = ["job_id", "event_id"]
+#: Largest blocks of the maxima table hold 2 ** TOP_LEVEL seconds.
+TOP_LEVEL = 8
 
 
 def presence(observations: DataFrame) -> DataFrame:
@@ -65,36 +68,88 @@ def peak_in(counts: DataFrame) -> DataFrame:
     )
 
 
-def clip_windows(events: DataFrame, presence_table: DataFrame, cluster_counts: DataFrame) -> DataFrame:
-    """I4: start and length of each event's clip.
+def presence_blocks(counts: DataFrame, cluster_counts: DataFrame | None = None) -> DataFrame:
+    """Maxima of aligned blocks of 1, 2, 4, ... seconds of a job, as many rows as two per second.
+
+    Per block: the most faces and the latest second with them, the same with the earliest second, and the first second that
+    shows the whole cast (null without one, or where the job's clusters are unknown).
+    """
+    cast = counts.withColumn("clusters", F.lit(None).cast("long"))
+    if cluster_counts is not None:
+        cast = join_facts(counts, cluster_counts.select("job_id", "clusters"), ["job_id"], spread=["second"], how="left")
+    level = F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL))).alias("level")
+    second = F.col("second")
+    return cast.select("*", level).groupBy(
+        "job_id", "level", F.expr("CAST(floor(second / shiftleft(1L, level)) AS BIGINT)").alias("block")
+    ).agg(
+        F.max(F.struct("faces", "second")).alias("latest"), F.max(F.struct("faces", (-second).alias("back"))).alias("earliest"),
+        F.min(F.when((F.col("clusters") > 0) & (F.col("faces") >= F.col("clusters")), second)).alias("full"),
+    )
+
+
+def _blocks_between(spans: DataFrame, first: str, end: str) -> DataFrame:
+    """Spans once per aligned block (level, block) of the whole seconds from ``first`` on and before ``end``.
+
+    At each size one block that lies inside on the left and one on the right, and at the largest size all between.
+    """
+    sized = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL)))).selectExpr(
+        "*", f"CAST(ceil({first} / shiftleft(1L, level)) AS BIGINT) AS _left", f"CAST(floor({end} / shiftleft(1L, level)) AS BIGINT) AS _right"
+    ).filter("_left < _right")
+    here = F.expr(f"""CASE WHEN level = {TOP_LEVEL} THEN sequence(_left, _right - 1)
+        ELSE filter(array(if(_left % 2 = 0, NULL, _left), if(_right % 2 = 0, NULL, _right - 1)), b -> b IS NOT NULL) END""")
+    return sized.withColumn("block", F.explode(here)).drop("_left", "_right")
+
+
+def window_peaks(windows: DataFrame, presence_table: DataFrame, blocks: DataFrame, start: Column, end: Column) -> DataFrame:
+    """I1, I2 of a closed window per event: ``latest``, ``earliest`` and ``full`` as in ``presence_blocks``.
+
+    The whole seconds of a window are a few aligned blocks, two per size at most. Only the second that holds the window's
+    start and the one that holds its end are cut; the faces of these two are counted by first and last sighting.
+    ``windows`` needs ``clusters``, the job's number of faces or null. Events that see nobody have no row.
+    """
+    spans = windows.select(*EVENT, "clusters", start.alias("_from"), end.alias("_to")).withColumns({
+        "_low": F.bround("_from"), "_high": F.bround("_to"),
+    })
+    edges = spans.select(*EVENT, "clusters", "_from", "_to", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("second"))
+    cut = edges.join(presence_table, ["job_id", "second"]).filter((F.col("seen_to") >= F.col("_from")) & (F.col("seen_from") <= F.col("_to")))
+    second = F.col("second")
+    at_edges = cut.groupBy(*EVENT, "clusters", "second").agg(F.count(F.lit(1)).alias("faces")).select(
+        *EVENT, F.struct("faces", "second").alias("latest"), F.struct("faces", (-second).alias("back")).alias("earliest"),
+        F.when((F.col("clusters") > 0) & (F.col("faces") >= F.col("clusters")), second).alias("full"),
+    )
+    whole = _blocks_between(spans.selectExpr(*EVENT, "_low + 1 AS _first", "_high"), "_first", "_high")
+    inside = whole.join(blocks, ["job_id", "level", "block"]).select(*EVENT, "latest", "earliest", "full")
+    return at_edges.unionByName(inside).groupBy(*EVENT).agg(
+        F.max("latest").alias("latest"), F.max("earliest").alias("earliest"), F.min("full").alias("full")
+    )
+
+
+def clip_windows(events: DataFrame, presence_table: DataFrame, cluster_counts: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """I4: start and length of each event's clip; ``blocks`` may give the ``presence_blocks`` of the table.
 
     The clip should reach the first second with the whole cast in view, if the search window ever shows
     it, and otherwise the second with most faces.
     """
     at = F.col("timestamp")
-    counts = presence_in(presence_table, events, F.greatest(at - SEARCH_BEFORE, F.lit(0.0)), at + SEARCH_AHEAD)
-    targets = join_facts(counts, cluster_counts.select("job_id", "clusters"), ["job_id"], spread=["event_id", "second"], how="left")
-    found = targets.groupBy(*EVENT).agg(
-        F.max(F.struct("faces", "second")).alias("_peak"),
-        F.min(F.when((F.col("clusters") > 0) & (F.col("faces") >= F.col("clusters")), F.col("second"))).alias("_full"),
-        F.min_by("second", F.struct(-F.col("faces"), F.col("second"))).alias("_first_peak"),
-        F.max(F.coalesce("clusters", F.lit(0))).alias("_clusters"),
-    )
-    best = F.coalesce(
-        "_full", F.when(F.col("_clusters") == 0, F.col("_first_peak")), F.col("_peak.second"), F.lit(0.0)
-    )
+    blocks = presence_blocks(presence_counts(presence_table), cluster_counts) if blocks is None else blocks
+    cast = join_facts(events, cluster_counts.select("job_id", "clusters"), ["job_id"], spread=["event_id"], how="left")
+    found = window_peaks(cast, presence_table, blocks, F.greatest(at - SEARCH_BEFORE, F.lit(0.0)), at + SEARCH_AHEAD)
+    first_peak = F.when(F.coalesce("clusters", F.lit(0)) == 0, -F.col("earliest.back"))
+    best = F.coalesce("full", first_peak, F.col("latest.second"), F.lit(0.0))
     start = F.greatest(at - PRE_ROLL, F.lit(0.0))
     length = F.greatest(at + AFTER_EVENT, best + AFTER_WIDE) - start
-    return events.join(found, EVENT, "left").select(
+    return cast.join(found, EVENT, "left").select(
         *events.columns, start.alias("clip_start"),
         F.least(F.lit(MAX_LENGTH), F.greatest(F.lit(MIN_LENGTH), length)).alias("clip_length"),
     )
 
 
-def primary_peaks(planned: DataFrame, presence_table: DataFrame, start: str, length: str, out: str) -> DataFrame:
+def primary_peaks(planned: DataFrame, presence_table: DataFrame, start: str, length: str, out: str, blocks: DataFrame | None = None) -> DataFrame:
     """Most faces in one second of the planned span; 0 when nobody is seen."""
-    end = F.col(start) + F.col(length)
-    peaks = presence_in(presence_table, planned, F.col(start), end).groupBy(*EVENT).agg(F.max("faces").alias(out))
+    blocks = presence_blocks(presence_counts(presence_table)) if blocks is None else blocks
+    spans = planned.withColumn("clusters", F.lit(None).cast("long"))
+    found = window_peaks(spans, presence_table, blocks, F.col(start), F.col(start) + F.col(length))
+    peaks = found.select(*EVENT, F.col("latest.faces").alias(out))
     return planned.join(peaks, EVENT, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
@@ -181,8 +236,9 @@ def plan_intro_clips(
 
     ``events`` holds event_id, name, timestamp, source_video, clip_label, face_id and lip_score.
     """
-    seen = presence(observations)
-    wide = global_wide_shot(presence_counts(seen))
+    seen = cut_lineage(presence(observations))
+    counts = presence_counts(seen)
+    wide, blocks = global_wide_shot(counts), cut_lineage(presence_blocks(counts, cluster_counts))
     known = clips.select("job_id", "source_video", F.col("duration_s").alias("_duration"))
     main = clips.filter("is_main").select(
         "job_id", F.col("source_video").alias("_main"), F.col("duration_s").alias("_main_duration")
@@ -193,13 +249,13 @@ def plan_intro_clips(
         "duration_s": F.when(F.col("_found"), F.col("_duration")).otherwise(F.col("_main_duration")),
     }).drop("_found", "_main", "_duration", "_main_duration")
 
-    visible = first_visible(clip_windows(sourced, seen, cluster_counts), frames)
+    visible = first_visible(clip_windows(sourced, seen, cluster_counts, blocks), frames)
     realign = needs_realign(F.col("visible_s"), F.col("timestamp"), F.col("face_id"), F.col("lip_score"))
-    planned = realigned_plan(visible.withColumn("audio_realigned", realign)).withColumns({
+    planned = cut_lineage(realigned_plan(visible.withColumn("audio_realigned", realign)).withColumns({
         "_start": F.coalesce("video_start", "clip_start"),
         "_length": F.when(F.col("audio_realigned"), F.lit(REALIGNED_SPAN)).otherwise(F.col("clip_length")),
-    })
-    tailed = add_wide_tail(primary_peaks(planned, seen, "_start", "_length", "_peak"), wide, "_start", "_length", "_peak")
+    }))
+    tailed = add_wide_tail(primary_peaks(planned, seen, "_start", "_length", "_peak", blocks), wide, "_start", "_length", "_peak")
     encode_length = F.when(F.col("audio_realigned"), F.col("realigned_length")).otherwise(F.col("clip_length"))
     start, length = clamp_to_media(F.col("_start"), encode_length, F.col("duration_s"))
     audio_start, _ = clamp_to_media(F.col("audio_start"), F.lit(REALIGNED_AUDIO_LENGTH), F.col("duration_s"))

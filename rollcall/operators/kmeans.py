@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.operators.blocks import BLOCK, cut_blocks, renewed, squared_distances, stack
+from rollcall.operators.vector_sums import mean_of_sums, merged_sums
 from rollcall.session import cut_lineage
 
 ROUNDS = 10
@@ -113,29 +114,26 @@ def update(points: DataFrame, centers: DataFrame) -> DataFrame:
 
     def partial_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame(columns=["job_id", "label", "n", "total", "old"])
+            return pd.DataFrame(columns=["job_id", "label", "total", "n", "first"])
         right = right.sort_values("label")
         vectors, old = stack(left.vector), stack(right.vector)
         best = squared_distances(vectors, old).argmin(axis=1)
         total = np.zeros_like(old)
         np.add.at(total, best, vectors)
+        counts = np.bincount(best, minlength=len(old))
         return pd.DataFrame({
             "job_id": left.job_id.iloc[0], "label": right.label.to_numpy(),
-            "n": np.bincount(best, minlength=len(old)), "total": list(total), "old": list(old),
+            "total": list(total), "n": [np.full(old.shape[1], n) for n in counts], "first": 0,
         })
 
     blocks = points.select(*BLOCK).distinct()
-    partial = points.groupBy(*BLOCK).cogroup(_on_blocks(centers, blocks).groupBy(*BLOCK)).applyInPandas(
-        partial_sums, "job_id string, label int, n long, total array<double>, old array<double>"
+    sums = points.groupBy(*BLOCK).cogroup(_on_blocks(centers, blocks).groupBy(*BLOCK)).applyInPandas(
+        partial_sums, "job_id string, label int, total array<double>, n array<long>, first long"
     )
-    entries = partial.select(
-        "job_id", "label", "n", F.posexplode(F.arrays_zip("total", "old")).alias("pos", "_v")
-    )
-    means = entries.groupBy("job_id", "label", "pos").agg(
-        F.sum("n").alias("_n"), F.sum("_v.total").alias("_total"), F.max("_v.old").alias("_old")
-    ).withColumn("value", F.when(F.col("_n") > 0, F.col("_total") / F.col("_n")).otherwise(F.col("_old")))
-    return means.groupBy("job_id", "label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("vector")
+    means = merged_sums(sums, ["job_id", "label"]).select("job_id", "label", mean_of_sums().alias("_mean"), F.get("n", F.lit(0)).alias("_n"))
+    known = renewed(centers.join(points.select("job_id").distinct(), "job_id", "left_semi"))
+    return known.join(means, ["job_id", "label"], "left").select(
+        "job_id", "label", F.when(F.col("_n") > 0, F.col("_mean")).otherwise(F.col("vector").cast("array<double>")).alias("vector")
     )
 
 
