@@ -68,12 +68,3 @@ def face_score(bbox: Column, lip: Column) -> Column:
     """Lip movement and box area in one number; bigger means more likely the speaker."""
     area = (bbox["x2"] - bbox["x1"]).cast("double") * (bbox["y2"] - bbox["y1"])
     return lip * 1000.0 + area
-
-
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(_total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    dot = _total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    return F.lit(1.0) - dot / (norm(a) * norm(b) + NORM_FLOOR)

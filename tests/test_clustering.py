@@ -132,3 +132,32 @@ def test_seeding_goes_on_for_the_one_job_that_wants_many(spark):
         seeds.append(max((float(i * i) for i in range(24)), key=lambda x: (min(abs(x - s) for s in seeds), -x)))
     assert [got["big"][i][0] for i in range(9)] == seeds
     assert [got["small"][i][0] for i in range(2)] == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_closest_of_many_centres(metric):
+    """20,000 centres, many of them equal or equally far."""
+    rng = np.random.default_rng(11)
+    centers = np.concatenate([rng.normal(size=(9_000, 6)) * 3, rng.integers(-3, 4, size=(11_000, 6)).astype(float)])
+    rows = np.concatenate([rng.normal(size=(300, 6)) * 3, rng.integers(-3, 4, size=(300, 6)) + 0.5, np.full((3, 6), 500.0)])
+    place, distance = vectors.closest(rows, centers, metric)
+    for i, row in enumerate(rows):
+        every = vectors._distances(row[None, :], centers, metric)[0]
+        assert distance[i] == pytest.approx(every.min(), abs=1e-12)
+        assert place[i] == np.flatnonzero(every <= every.min() + 1e-12)[0] or metric == "cosine"
+
+
+def test_nearest_cluster_keeps_columns_over_blocks(spark, small_chunks):
+    rng = np.random.default_rng(12)
+    rows = [(f"j{i % 2}", i, "m", float(i), (i, 2, 3, 4), None if i == 7 else [float(x) for x in rng.normal(size=3)], 0.5, ["face_0", "face_1", "face_2", ""][i % 4]) for i in range(60)]
+    obs = _observations(spark, rows)
+    table = vectors.centroids(obs)
+    centers = {}
+    for r in table.orderBy("cluster_order").collect():
+        centers.setdefault(r.job_id, []).append((r.cluster_id, np.array(r.centroid)))
+    got = {r.obs_id: r for r in vectors.nearest_cluster(obs, table, out="nearest").collect()}
+    assert len(got) == 60 and got[7].nearest == "" and got[7].distance is None
+    for job, i, _, ts, box, vector, _, cluster in rows:
+        assert (got[i].job_id, got[i].timestamp, tuple(got[i].bbox), got[i].cluster_id) == (job, ts, box, cluster)
+        if vector:
+            assert got[i].nearest == min(centers[job], key=lambda c: np.linalg.norm(np.float32(vector) - c[1]))[0]
