@@ -8,6 +8,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rollcall.operators.ordered import number_rows
+
+# Events numbered within their day. Spark numbers them chunk by chunk instead of in one window per day.
+NUMBERED = "(SELECT *, day(ts) AS d, row_number() OVER (PARTITION BY day(ts) ORDER BY event_id) - 1 AS i FROM events)"
 
 VIEWS = {
     "obs_v": """
@@ -29,19 +35,17 @@ FROM (SELECT DISTINCT day(ts) AS d, event_id % 60 AS i FROM events) q
     "label_v": """
 SELECT 'job_' || CAST(q.d AS STRING) AS job_id, 'face_' || CAST(n.n_nationkey AS STRING) AS face_id,
   CASE WHEN n.n_nationkey = 3 THEN '' ELSE n.n_name END AS name
-FROM (SELECT DISTINCT day(ts) AS d FROM events) q JOIN nation n ON n.n_nationkey * 0 = q.d * 0
+FROM (SELECT DISTINCT day(ts) AS d, event_id % 25 AS k FROM events) q JOIN nation n ON n.n_nationkey = q.k
 """,
-    "voice_v": """
+    "voice_v": f"""
 SELECT 'job_' || CAST(d AS STRING) AS job_id, i AS win_idx, 0.75E0 * (i + 1) AS ts_s,
   CASE WHEN i % 13 = 5 THEN 2 ELSE CAST(floor(i / (3.0 + d % 3)) AS INT) % 3 END AS label, vec_id
-FROM (SELECT day(ts) AS d, event_id % (SELECT count(*) FROM embeddings) AS vec_id,
-        row_number() OVER (PARTITION BY day(ts) ORDER BY event_id) - 1 AS i FROM events) q
+FROM (SELECT d, event_id % (SELECT count(*) FROM embeddings) AS vec_id, i FROM {NUMBERED} e) q
 """,
-    "frame_v": """
+    "frame_v": f"""
 SELECT 'job_' || CAST(d AS STRING) AS job_id, i AS frame_idx, 25.0E0 AS native_fps,
   i / 25.0E0 AS ts_s, CAST(i AS DOUBLE) AS second_s, value % 60 AS brightness
-FROM (SELECT day(ts) AS d, value,
-        row_number() OVER (PARTITION BY day(ts) ORDER BY event_id) - 1 AS i FROM events) q
+FROM (SELECT d, value, i FROM {NUMBERED} e) q
 """,
     "text_v": """
 SELECT 'conv_' || CAST(c.conv_id AS STRING) AS job_id, c.turn AS seg_idx, c.role AS source_video,
@@ -104,7 +108,12 @@ class Tables:
         return self.spark.sql(text)
 
     def raw(self, view: str) -> DataFrame:
-        return self.sql(VIEWS[view])
+        text = VIEWS[view]
+        if NUMBERED in text:
+            days = self.table("events").withColumn("d", F.dayofmonth("ts"))
+            number_rows(days, ["d"], "event_id", "i", first=0).createOrReplaceTempView("numbered_events")
+            text = text.replace(NUMBERED, "numbered_events")
+        return self.sql(text)
 
     def __getattr__(self, name: str) -> DataFrame:
         view = f"{name}_v"

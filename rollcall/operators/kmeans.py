@@ -1,4 +1,4 @@
-"""k clusters per job for faces and voices (C3, V3): k-means on the within-cluster variance.
+"""k clusters per job by k-means on the within-cluster variance, for jobs where a whole Ward tree is not wanted.
 
 All jobs run in one plan. Rounds are a fixed number and chained lazily; each round sends only one sum
 and count per block and cluster through the shuffle.
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +21,8 @@ CUT_ROUNDS = 3
 
 
 def prepare_points(points: DataFrame) -> DataFrame:
-    """Points (job_id, point_id, vector) in blocks, laid out by block once and kept so for all rounds."""
-    cut = cut_lineage(cut_blocks(points.select("job_id", "point_id", "vector"), ["job_id"]))
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(parts, *BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
+    """Points (job_id, point_id, vector) in blocks, written once for all rounds."""
+    return cut_lineage(cut_blocks(points.select("job_id", "point_id", "vector"), ["job_id"]))
 
 
 def _on_blocks(facts: DataFrame, blocks: DataFrame) -> DataFrame:
