@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.shared import stored
+from rollcall.llm.shared import partitions, stored
 from rollcall.llm.words import by_bytes
 
 #: Documents of a language that must hold a term, and the ranks that the term report goes to.
@@ -99,10 +99,23 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences ``n`` of each term in each group, and the group's documents ``docs`` that hold it: (lang, source, term, docs, n)."""
+    """Occurrences ``n`` of each term in each group, and the group's documents ``docs`` that hold it: (lang, source, term, docs, n).
+
+    Rows of one term and language lie in one partition: they are as many as tasks and sources, whatever its occurrences.
+    """
     rows = distinct_texts(docs).sortWithinPartitions("lang", F.size("sources") > 1, F.col("sources")[0]["source"])
     rows = rows.mapInArrow(_count_rows, "lang string, source string, term string, docs long, n long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    return rows.repartition(partitions(docs.sparkSession), "lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+
+
+def kept_terms(counts: DataFrame) -> DataFrame:
+    """Terms that enough documents of their language hold: (lang, source, term, n, n_lang, first), ``first`` once per lang and term."""
+    of_term = Window.partitionBy("lang", "term")
+    rows = counts.select(
+        "lang", "source", "term", "n", F.sum("docs").over(of_term).alias("_docs"), F.sum("n").over(of_term).alias("n_lang"),
+        (F.min("source").over(of_term) == F.col("source")).alias("first"),
+    )
+    return rows.where(F.col("_docs") >= LEAST_DOCS).drop("_docs")
 
 
 def share(n: str, total: str, kept: str) -> str:
@@ -212,12 +225,8 @@ def audit(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are not read.
     """
     docs = docs.select("lang", "source", "text")
-    counts = stored(term_counts(docs))
-    langs = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"), F.count("*").alias("holders"))
-    langs = stored(langs.where(F.col("docs") >= LEAST_DOCS))
-    kept = stored(counts.join(langs.select("lang", "term", "n_lang"), ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"))
-
-    per_lang = langs.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n_lang").alias("lang_total"), F.sum("holders").alias("n_entries"))
+    kept = stored(kept_terms(term_counts(docs)))
+    per_lang = kept.groupBy("lang").agg(F.count_if("first").alias("kept"), F.sum("n").alias("lang_total"), F.count("*").alias("n_entries"))
     per_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("n_terms"))
     by_lang = Window.partitionBy("lang")
     groups = docs.selectExpr("coalesce(lang, '') AS lang", "coalesce(source, '') AS source").distinct()
