@@ -90,6 +90,18 @@ def pivots_of(word: str, prefix: list[int], counts: dict[str, int]) -> list[int]
     return best[picks][len(prefix)][1]
 
 
+def contexts(word: str, at: int, before: bool) -> list[str]:
+    """What joins along with the gram at a place, for an edit that lies before or after it.
+
+    The side without the edit is equal in both words. On the other side, more than one character long, the edit leaves the
+    character next to the gram or the outermost one; sides of one character or none are taken together.
+    """
+    same, other = (word[at + GRAM :], word[:at][::-1]) if before else (word[:at], word[at + GRAM :])
+    mark = (">" if before else "<") + same
+    out = [f"{mark}+{other[0]}", f"{mark}-{other[-1]}"] if other else []
+    return out + ([f"{mark}="] if len(other) <= 1 else [])
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch], counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
     names = ["word", "n", "pivot", "place", "gram", "context"]
     types = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
@@ -99,20 +111,19 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], counts: dict[str, int]) -
             rows = []
             for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
                 prefix = prefix_of(word, counts)
-                pivots = pivots_of(word, prefix, counts)
-                for pivot, places in ((True, pivots), (False, prefix)):
-                    for at in places:
-                        gram = word[at : at + GRAM]
-                        rows += [(word, n, pivot, at, gram, "<" + word[:at]), (word, n, pivot, at, gram, ">" + word[at + GRAM :])]
+                left, right = pivots_of(word, prefix, counts)
+                # An edit lies after the left pivot or before the right one.
+                for pivot, at, before in [(True, left, False), (True, right, True), *((False, at, before) for at in prefix for before in (False, True))]:
+                    rows += [(word, n, pivot, at, word[at : at + GRAM], context) for context in contexts(word, at, before)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """Every pair of words one inserted, deleted or replaced character apart, both ways: (word, near, near_n).
 
-    One of a word's two disjoint pivots outlives the edit, moved by one place at most, and it is among the rarest
-    grams of the other word, or the same holds the other way round. The edit lies before or after that gram, so what
-    stands on its other side is equal: this text joins along with the gram, and the edit distance is checked in the join.
+    An edit lies after a word's left pivot or before its right one; this pivot outlives it, moved by one place at most, and
+    is among the rarest grams of the other word, or the same holds the other way round. What the edit leaves equal beside
+    the gram (``contexts``) joins along with it, and the edit distance is checked in the join.
     """
     counts = gram_counts(vocabulary)
     rows = stored(vocabulary.mapInArrow(partial(_signature_rows, counts=counts), "word string, n long, pivot boolean, place int, gram string, context string"))
