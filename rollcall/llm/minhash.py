@@ -18,6 +18,8 @@ SHINGLE = 5
 PERMUTATIONS = 128
 BANDS = 32
 LIKENESS = 0.8
+#: How far under the wanted similarity a signature's estimate may lie before a pair is dropped: some seven deviations.
+DOUBT = 0.25
 #: Classes of one band bucket outside its head's component from which on those that share a second band are compared first.
 HOT = 256
 #: Parts that the members of a band bucket are dealt into.
@@ -137,9 +139,24 @@ def bands_of(mark: np.ndarray) -> np.ndarray:
 
 def _band_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
-        sets = [shingles(t or "", width) for t in batch.column("text").to_pylist()]
+        sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+        keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
         bands = pa.array([bands_of(signature(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bands, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "bands", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), keys, bands], ["doc_id", "mark", "key", "bands"])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, "text"):
+        sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+        keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
+
+
+def _likely_rows(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(batch.num_rows, -1) for c in ("x", "y"))
+        near = (x == y).mean(axis=1) >= least
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LIKENESS) -> DataFrame:
@@ -149,31 +166,46 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LIKENE
     compared with its band's smallest class, its head, first. Then every class that is still outside the component of a
     head meets all members of the bucket in other components than its own, so a group of copies gives a star and not all its
     pairs. Where more than ``HOT`` are outside, those that share a second band meet first, as sets at 0.8 share a dozen, and the
-    rest meet all others once this has joined components. Jaccard is computed on the whole shingle sets. Two sets at 0.8 share a band
-    of four permutations with a probability over 0.9999999. Texts without words are one class. Null text counts as
+    rest meet all others once this has joined components. Pairs whose signatures put them ``DOUBT`` or more under ``least`` go,
+    Jaccard is computed on the whole shingle sets of the others: a second pass over the texts makes the sets of classes that
+    share a band, and of no others. Two sets at 0.8 share a band of four permutations with a probability over 0.9999999, and the
+    signatures keep them with one over 0.99999999. Texts without words are one class. Null text counts as
     empty; null ids count only where a group has no other; an empty table gives no rows.
     """
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(partial(_band_rows, width=width), "doc_id long, bands array<long>, shingles array<long>")
-    rows = stored(rows.withColumn("class", F.xxhash64("shingles")))
-    classes = stored(rows.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = stored(texts.mapInArrow(partial(_band_rows, width=width), "doc_id long, mark long, key binary, bands array<long>"))
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("place")
+    classes = rows.groupBy("key").agg(place, F.first("bands").alias("bands")).withColumn("class", F.monotonically_increasing_id())
+    classes = stored(classes.select("class", "key", F.col("place.doc_id").alias("first"), F.col("place.mark").alias("mark"), "bands"))
     banded = stored(classes.select("class", F.posexplode("bands").alias("band", "key")))
     heads = banded.groupBy("band", "key").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1")
-    stars = banded.join(heads, ["band", "key"]).where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
-    linked = stored(_alike(stars, classes, least))
+    shared = banded.join(heads, ["band", "key"])
+    sets = _sets(texts, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
+    stars = shared.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
+    linked = stored(_alike(stars, classes, sets, least))
     outside, members = _outside(banded, heads, components(linked))
     sizes = outside.groupBy("band", "key").agg(F.count("*").alias("left"))
     hot = stored(sizes.where(F.col("left") > HOT).select("band", "key"))
     tried = stored(_across(outside.join(hot, ["band", "key"], "left_anti"), members).unionByName(_across(
         _second(outside.join(hot, ["band", "key"]), banded), _second(members.join(hot, ["band", "key"]), banded))).distinct())
-    linked = stored(linked.unionByName(_alike(tried, classes, least)))
+    linked = stored(linked.unionByName(_alike(tried, classes, sets, least)))
     joined = components(linked)
     if not hot.isEmpty():
         outside, members = _outside(banded.join(hot, ["band", "key"]), heads, joined)
         rest = _across(outside, members).join(tried, ["a", "b"], "left_anti")
-        joined = components(linked.unionByName(_alike(rest, classes, least)))
-    named = classes.select("class", "first").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        joined = components(linked.unionByName(_alike(rest, classes, sets, least)))
+    named = classes.select("key", "class", "first").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "class").join(named.join(ids, "component").select("class", "component_id"), "class").select("doc_id", "component_id")
+    return rows.select("doc_id", "key").join(named.join(ids, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(class, shingles) of the wanted classes, from one text of each."""
+    known = F.coalesce("doc_id", F.lit(0)).alias("known")
+    places = wanted.select(F.coalesce("first", F.lit(0)).alias("known"), "mark").distinct()
+    found = texts.select(known, "mark", "text").join(places, ["known", "mark"], "left_semi").distinct()
+    made = found.select("text").mapInArrow(partial(_shingle_rows, width=width), "key binary, shingles array<long>")
+    return stored(made.join(wanted.select("key", "class"), "key").groupBy("class").agg(F.first("shingles").alias("shingles")))
 
 
 def _outside(banded: DataFrame, heads: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,11 +232,14 @@ def _across(outside: DataFrame, members: DataFrame) -> DataFrame:
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are alike enough."""
-    a = classes.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    b = classes.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
+def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are alike enough: first by their signatures, then by the sets."""
+    x = classes.select(F.col("class").alias("a"), F.col("bands").alias("x"))
+    y = classes.select(F.col("class").alias("b"), F.col("bands").alias("y"))
+    likely = pairs.join(x, "a").join(y, "b").mapInArrow(partial(_likely_rows, least=least - DOUBT), "a long, b long")
+    of_a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+    of_b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
+    both = likely.join(of_a, "a").join(of_b, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     every = F.size("sa") + F.size("sb") - shared
     return both.where((every > 0) & (shared >= F.lit(least) * every)).select("a", "b")

@@ -9,11 +9,11 @@ from cases import documents, odd_texts
 from rollcall.llm import simhash
 
 
-def plain_print(text):
+def plain_print(text, width=3):
     words = [w for w in (text or "").encode().lower().split()]
     if not words:
         return 0
-    runs = [words[i : i + 3] for i in range(max(1, len(words) - 2))]
+    runs = [words[i : i + width] for i in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
