@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, mixing, quality, secrets, simhash
+from rollcall.llm import bpe, mixing, near_copies, quality, secrets
 from rollcall.llm.shared import stored
 
 
@@ -15,8 +15,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group, the one with the smallest id: SimHash links, and verified MinHash links of edited copies."""
+    return near_copies.deduplicated(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
