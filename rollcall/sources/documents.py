@@ -104,10 +104,10 @@ def _read_records(spark: SparkSession, files: str, doc: StructType | ArrayType,
     members = {ROOT: doc} if isinstance(doc, ArrayType) else {f.name: f.dataType for f in doc}
     wanted = {name for name, kind in members.items() if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)}
     schema = members[section].elementType
-    found = read_documents(spark, files, wanted)
+    found = read_documents(spark, files, wanted, {section})
     if found is None:
         return spark.createDataFrame([], StructType().add("job_id", "string").add(place, "long").add(record, schema))
-    return found[0].filter(F.col("section") == section).select("job_id", F.col("place").alias(place), F.from_json("text", schema, {"mode": "FAILFAST"}).alias(record))
+    return found[0].select("job_id", F.col("place").alias(place), F.from_json("text", schema, {"mode": "FAILFAST"}).alias(record))
 
 
 def read_observations(spark: SparkSession, base: str, name: str = "faces.json") -> DataFrame:

@@ -79,11 +79,11 @@ def array_document(jobs: DataFrame, sections: dict[str, tuple[DataFrame, Column]
             return jobs.select("job_id", F.lit(number).alias("section"), F.lit(at).cast("long").alias("ord"), F.lit(text).alias("line"))
 
         firsts = rows.groupBy("job_id").agg(F.min("ord").alias("_first"))
-        body = join_facts(rows.select("job_id", F.col("ord").cast("long").alias("ord"), F.to_json(record).alias("_json")),
+        body = join_facts(rows.select("job_id", F.col("ord").cast("long").alias("ord"), record.alias("_record")),
                           firsts, ["job_id"], spread=["ord"])
         comma = F.when(F.col("ord") > F.col("_first"), ",").otherwise("")
         parts.append(edge(-1, f'"{name}": ['))
-        parts.append(body.select("job_id", F.lit(number).alias("section"), "ord", F.concat(comma, "_json").alias("line")))
+        parts.append(body.select("job_id", F.lit(number).alias("section"), "ord", F.concat(comma, F.to_json("_record")).alias("line")))
         parts.append(edge(1, "]," if number < last else "]"))
     parts.append(jobs.select("job_id", F.lit(len(sections)).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit("}").alias("line")))
     return reduce(DataFrame.unionByName, parts)
@@ -186,8 +186,8 @@ def detections_document(detections: DataFrame, jobs: DataFrame) -> DataFrame:
     """K8: all detections (with a unique integer ``ord``) of each job as one array."""
     record = F.struct(*[c for c in detections.columns if c not in ("job_id", "ord", "event_ord", "event_id", "seg_idx")])
     firsts = detections.groupBy("job_id").agg(F.min("ord").alias("_first"))
-    rows = join_facts(detections.select("job_id", F.col("ord").cast("long").alias("ord"), F.to_json(record).alias("_json")), firsts, ["job_id"], spread=["ord"])
-    body = rows.select("job_id", F.lit(0).alias("section"), "ord", F.concat(F.when(F.col("ord") > F.col("_first"), ",").otherwise(""), "_json").alias("line"))
+    rows = join_facts(detections.select("job_id", F.col("ord").cast("long").alias("ord"), record.alias("_record")), firsts, ["job_id"], spread=["ord"])
+    body = rows.select("job_id", F.lit(0).alias("section"), "ord", F.concat(F.when(F.col("ord") > F.col("_first"), ",").otherwise(""), F.to_json("_record")).alias("line"))
     edges = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit(line).alias("line")) for s, line in ((-1, "["), (1, "]"))]))
     return body.unionByName(jobs.select("job_id", edges.alias("_edge")).select("job_id", "_edge.*"))
 

@@ -2,8 +2,9 @@
 
 Text arrives cut at every ``}``, so a document spreads over the splits that Spark makes of its files. One pass tells how each
 split changes quote parity and bracket depth, for a start outside and inside a string; composing these few rows gives the
-state in which every split begins. A second pass cuts records where they lie and hands them on one by one. Only what a
-split's borders cut in two is put together afterwards. Documents never become one row.
+state in which every split begins. A second pass counts records where they lie and keeps what a split's borders cut in two;
+only that is put together. A third pass hands the records on, numbered, one by one, and writes none of them in between.
+Documents never become one row.
 
 A document is an object whose members may be arrays of records, or one array of records. Its files follow each other by name.
 """
@@ -13,9 +14,11 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,6 +28,8 @@ from rollcall.session import cut_lineage
 
 #: What changes the state: escapes, quotes and brackets.
 TOKEN = re.compile(r'\\.|["\[\]{}]', re.DOTALL)
+#: An object without objects, without arrays in arrays, and without escapes or brackets in its strings.
+FLAT = re.compile(r'\{(?:[^"\\\[\]{}]++|"[^"\\\[\]{}]*+"|\[(?:[^"\\\[\]{}]++|"[^"\\\[\]{}]*+")*+\])*+\}')
 #: Name of the records of a document that is one array, and what stands for a member that is an object.
 ROOT, OBJECT = "", "{"
 #: Rows handed on at once.
@@ -39,6 +44,11 @@ def job_of(path: Column) -> Column:
     return F.regexp_replace(folder, "^job_id=", "")
 
 
+def job_name(path: str) -> str:
+    """``job_of`` for one path, inside a task that meets the same path many times."""
+    return unquote_plus(path.rsplit("/", 2)[-2]).removeprefix("job_id=")
+
+
 def pieces(spark: SparkSession, pattern: str) -> DataFrame | None:
     """The text of all files between the closing braces, with its file and split; None where no file is."""
     try:
@@ -48,17 +58,23 @@ def pieces(spark: SparkSession, pattern: str) -> DataFrame | None:
             raise
         return None
     meta = F.col("_metadata")
-    return text.select(
-        job_of(meta["file_path"]).alias("job_id"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"),
-        meta["file_size"].alias("size"), "value",
-    )
+    return text.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), meta["file_size"].alias("size"), "value")
 
 
 def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
-    """Splits in the order in which a task reads them, each with its text; every piece but a file's first opens with the brace that ended the one before."""
-    rows = (
-        (row[:4], row[4]) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("job_id", "path", "start", "size")), batch.column("value").to_pylist(), strict=True)
-    )
+    """Splits in the order in which a task reads them, each with its text in parts; every part but a file's first opens with the brace that ended the one before."""
+
+    def runs() -> Iterator[tuple[tuple, str]]:
+        for batch in batches:
+            if batch.num_rows:
+                path, start = batch.column("path"), batch.column("start")
+                new = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(start[1:], start[:-1]))
+                values = batch.column("value").to_pylist()
+                for low, high in itertools.pairwise([0, *(i + 1 for i in pc.indices_nonzero(new).to_pylist()), batch.num_rows]):
+                    place = [batch.column(c)[low].as_py() for c in ("path", "start", "size")]
+                    yield (job_name(place[0]), *place), "}".join(values[low:high])
+
+    rows = runs()
     waiting = next(rows, None)
     while waiting is not None:
         key = waiting[0]
@@ -75,27 +91,35 @@ def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterato
 
 
 class Passage:
-    """How a text changes the state, for one way of starting: depth gained, whether it ends in a string, arrays opened by depth."""
+    """How a text changes the state, for a start outside a string and for one inside: depth gained, whether it ends in a string, arrays opened by depth.
 
-    def __init__(self, in_string: bool):
-        self.in_string, self.depth = in_string, 0
-        self.opened: dict[int, str] = {}  # depth before an opening bracket, counted from the start -> the string before it
-        self.string: str | None = None
+    What is outside a string for one start is inside for the other, so each bracket counts for one of them.
+    """
+
+    def __init__(self) -> None:
+        self.in_string = False  # for the start outside a string; the other way round for the other
+        self.depth = [0, 0]
+        self.opened: tuple[dict[int, str], dict[int, str]] = ({}, {})  # depth before an opening bracket, counted from the start -> the string before it
+        self.string: list[str | None] = [None, None]
 
     def read(self, text: str) -> None:
-        at = 0
-        for token in TOKEN.finditer(text):
-            mark = token.group()
+        at = past = 0
+        while token := TOKEN.search(text, past):
+            mark, past = token.group(), token.end()
             if mark == '"':
-                if self.in_string:
-                    self.string = text[at : token.start()]
-                self.in_string, at = not self.in_string, token.end()
-            elif not self.in_string:
-                if mark in "[{":
-                    self.opened[self.depth] = OBJECT if mark == "{" else self.string or ROOT
-                    self.depth += 1
-                elif mark in "]}":
-                    self.depth -= 1
+                self.string[not self.in_string] = text[at : token.start()]
+                self.in_string, at = not self.in_string, past
+            elif mark in "[{":
+                way = int(self.in_string)
+                self.opened[way][self.depth[way]] = OBJECT if mark == "{" else self.string[way] or ROOT
+                flat = FLAT.match(text, token.start()) if mark == "{" and not way else None
+                if flat:
+                    past = flat.end()
+                    at = text.rfind('"', at, past) + 1 or at
+                else:
+                    self.depth[way] += 1
+            elif mark in "]}":
+                self.depth[int(self.in_string)] -= 1
 
 
 PASSAGE = f"{SPLIT}, size long, n_bytes long, root string, ends_in_string array<boolean>, gain array<long>, opened array<map<long,string>>"
@@ -107,16 +131,14 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("ends_in_string", pa.list_(pa.bool_())), ("gain", pa.list_(pa.int64())), ("opened", pa.list_(pa.map_(pa.int64(), pa.string()))),
     ])
     for (job, path, start, size), texts in by_split(batches):
-        ways = Passage(False), Passage(True)
-        n_bytes, root = 0, ""
+        passage, n_bytes, root = Passage(), 0, ""
         for text in texts:
             n_bytes += len(text.encode())
             root = root or text.lstrip()[:1]
-            for way in ways:
-                way.read(text)
+            passage.read(text)
         yield pa.RecordBatch.from_pydict({
             "job_id": [job], "path": [path], "start": [start], "size": [size], "n_bytes": [n_bytes], "root": [root],
-            "ends_in_string": [[w.in_string for w in ways]], "gain": [[w.depth for w in ways]], "opened": [[list(w.opened.items()) for w in ways]],
+            "ends_in_string": [[passage.in_string, not passage.in_string]], "gain": [passage.depth], "opened": [[list(o.items()) for o in passage.opened]],
         }, schema)
 
 
@@ -167,8 +189,9 @@ class Cutter:
             elif not self.in_records():
                 self.rest.append(text[at:end])
 
-        for token in TOKEN.finditer(text):
-            mark = token.group()
+        past = 0
+        while token := TOKEN.search(text, past):
+            mark, past = token.group(), token.end()
             if mark == '"':
                 if self.in_string:
                     self.string = text[quote : token.start()]
@@ -181,6 +204,11 @@ class Cutter:
                     at = token.end()
                     self.section = OBJECT if mark == "{" else (self.string or ROOT) if self.inside == 3 else ROOT
                 elif mark == "{" and self.depth == self.inside - 1 and self.in_records():
+                    flat = FLAT.match(text, token.start())
+                    if flat:
+                        at = past = flat.end()
+                        yield False, self.section, flat.group()
+                        continue
                     self.record, self.cut_before, at = [], False, token.start()
                 self.depth += 1
             else:
@@ -195,41 +223,66 @@ class Cutter:
         keep(len(text))
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch], states: dict, wanted: set[str]) -> Iterator[pa.RecordBatch]:
-    names = ["job_id", "path", "start", "idx", "kind", "section", "text"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    held: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*held, strict=True)) if held else [[]] * len(names)
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-        held.clear()
-        return out
-
+def _cutters(batches: Iterator[pa.RecordBatch], states: dict, wanted: set[str]) -> Iterator[tuple[tuple, Cutter, Iterator[list[tuple[bool, str, str]]]]]:
+    """Each split with its cutter and, part by part, the records that end in it."""
     for (job, path, start, size), texts in by_split(batches):
         first = next(texts)
         state = states.get((path, start), (False, 0, ROOT, first.lstrip()[:1], None))
-        cutter, idx, n_bytes = Cutter(*state[:4], wanted), 0, 0
+        cutter = Cutter(*state[:4], wanted)
 
-        def feed(text: str, cutter: Cutter = cutter, job=job, path=path, start=start) -> None:
-            nonlocal idx
-            for before, name, record in cutter.read(text):
-                held.append((job, path, start, -1 if before else idx, "head" if before else "record", name, record))
-                idx += not before
+        def parts(first=first, texts=texts, state=state, cutter=cutter, size=size) -> Iterator[list[tuple[bool, str, str]]]:
+            n_bytes = 0
+            for text in itertools.chain([first], texts):
+                yield list(cutter.read(text))
+                n_bytes += len(text.encode())
+            if state[4] or state[4] is None and n_bytes + 1 == size:
+                yield list(cutter.read("}"))
 
-        for text in itertools.chain([first], texts):
-            feed(text)
-            n_bytes += len(text.encode())
-            if len(held) >= ROWS:
-                yield flush()
-        if state[4] or state[4] is None and n_bytes + 1 == size:
-            feed("}")
+        yield (job, path, start), cutter, parts()
+
+
+INDEX = f"{SPLIT}, idx long, kind string, section string, text string"
+
+
+def _index_rows(batches: Iterator[pa.RecordBatch], states: dict, wanted: set[str]) -> Iterator[pa.RecordBatch]:
+    """Per split: its records per section (``idx``), what its borders cut, and what belongs to no record."""
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    for split, cutter, parts in _cutters(batches, states, wanted):
+        rows, counts = [], {}
+        for part in parts:
+            for before, section, record in part:
+                if before:
+                    rows.append((*split, -1, "head", section, record))
+                else:
+                    counts[section] = counts.get(section, 0) + 1
         if cutter.record is not None:
             kind = "middle" if cutter.cut_before else "tail"
-            held.append((job, path, start, idx, kind, cutter.section, "".join(cutter.record)))
-        held.append((job, path, start, idx, "rest", ROOT, "".join(cutter.rest)))
-    if held:
-        yield flush()
+            rows.append((*split, counts.get(cutter.section, 0), kind, cutter.section, "".join(cutter.record)))
+        rows += [(*split, n, "count", section, "") for section, n in counts.items()]
+        rows.append((*split, 0, "rest", ROOT, "".join(cutter.rest)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["job_id", "path", "start", "idx", "kind", "section", "text"]
+        )
+
+
+def _record_rows(batches: Iterator[pa.RecordBatch], states: dict, wanted: set[str], kept: set[str], starts: dict) -> Iterator[pa.RecordBatch]:
+    """Records of the ``kept`` sections that no border cuts, numbered from what ``starts`` says of their split."""
+    for (job, path, start), _, parts in _cutters(batches, states, wanted):
+        places = {section: starts.get((path, start, section), 0) for section in kept}
+        for part in parts:
+            sections, numbers, texts = [], [], []
+            for before, section, record in part:
+                if section in kept and not before:
+                    sections.append(section)
+                    numbers.append(places[section])
+                    texts.append(record)
+                    places[section] += 1
+            for low in range(0, len(texts), ROWS):
+                some = slice(low, low + ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([job] * len(texts[some]), pa.string()), pa.array(sections[some], pa.string()), pa.array(numbers[some], pa.int64()), pa.array(texts[some], pa.string())],
+                    ["job_id", "section", "place", "text"],
+                )
 
 
 def _stitch(rows: pd.DataFrame) -> pd.DataFrame:
@@ -255,30 +308,39 @@ def split_states(text: DataFrame) -> dict[tuple[str, int], tuple]:
     return {(r.path, r.start): (r.in_string, r.depth, r.section, r.root, r.closing) for r in states.collect()}
 
 
-def read_documents(spark: SparkSession, pattern: str, wanted: set[str]) -> tuple[DataFrame, DataFrame] | None:
+def read_documents(spark: SparkSession, pattern: str, wanted: set[str], kept: set[str] | None = None) -> tuple[DataFrame, DataFrame] | None:
     """Records and envelopes of all documents whose files match ``pattern``; None where no file does.
 
     Records: (job_id, section, place, text), ``place`` counting from 0 in document order per section; ``wanted`` names the
-    members that hold records, ``ROOT`` a document that is one array. Envelopes: (job_id, text), the document with those
-    members' arrays emptied. A document that ends inside a value raises an error; an empty array gives no records.
+    members that hold records, ``ROOT`` a document that is one array; of these the ``kept`` ones are handed on, all if not given.
+    Envelopes: (job_id, text), the document with the wanted members' arrays emptied. A document that ends inside a value raises an
+    error; an empty array gives no records.
     """
     text = pieces(spark, pattern)
     if text is None:
         return None
+    kept = wanted if kept is None else kept
     states = spark.sparkContext.broadcast(split_states(text))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cut_rows(batches, states.value, wanted)
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _index_rows(batches, states.value, wanted)
 
-    rows = cut_lineage(text.mapInArrow(cut, f"{SPLIT}, idx long, kind string, section string, text string"))
-    torn = rows.filter(F.col("kind").isin("tail", "middle", "head")).groupBy("job_id").applyInPandas(_stitch, f"{SPLIT}, idx long, section string, text string")
-    records = rows.filter("kind = 'record'").select("job_id", "path", "start", "idx", "section", "text").unionByName(torn)
-    records = cut_lineage(records)
+    rows = cut_lineage(text.mapInArrow(index, INDEX))
+    torn = cut_lineage(rows.filter(F.col("kind").isin("tail", "middle", "head")).groupBy("job_id").applyInPandas(
+        _stitch, f"{SPLIT}, idx long, section string, text string"
+    ))
     keys = ["job_id", "path", "start", "section"]
-    counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("idx").alias("_first"))
+    counted = rows.filter("kind = 'count'").select(*keys, F.col("idx").alias("n")).unionByName(torn.select(*keys, F.lit(1).cast("long").alias("n")))
     before = W.partitionBy("job_id", "section").orderBy("path", "start").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).select(*keys, "_before")
-    placed = records.join(starts, keys).select("job_id", "section", (F.col("_before") + F.col("idx")).alias("place"), "text")
+    begun = cut_lineage(counted.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    # A row per later split of a document and section, as in ``split_states``; a document of one split needs none.
+    starts = spark.sparkContext.broadcast({(r.path, r.start, r.section): r._before for r in begun.filter(F.col("_before") > 0).collect()})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _record_rows(batches, states.value, wanted, kept, starts.value)
+
+    whole = text.mapInArrow(cut, "job_id string, section string, place long, text string")
+    mended = torn.filter(F.col("section").isin(*kept)).join(begun, keys).select("job_id", "section", (F.col("_before") + F.col("idx")).alias("place"), "text")
     parts = F.array_sort(F.collect_list(F.struct("path", "start", "text")))
     envelopes = rows.filter("kind = 'rest'").groupBy("job_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
-    return placed, envelopes
+    return whole.unionByName(mended), envelopes

@@ -2,9 +2,11 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 
+from rollcall.session import shared_folder
 from rollcall.sources import documents, structural
 
 
@@ -98,3 +100,22 @@ def test_one_document_spreads_over_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [(r.seg_idx, r.speaker_id, r.start, r.end) for r in got] == [(i, r["speaker_id"], r["start"], r["end"]) for i, r in enumerate(rows)]
     assert documents.read_speaker_segments(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_reading_one_section_writes_nothing_of_the_others(spark, tmp_path):
+    rng = random.Random(5)
+    boxes = {"timestamp": 1.0, "bbox": [0, 0, 9, 9], "embedding": [0.5], "lip_openness": 0.1, "cluster_id": "face_0"}
+    rows = [{**boxes, "source_video": "".join(rng.choice("abcdefgh") for _ in range(500))} for _ in range(4_000)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "faces.json").write_text(json.dumps({"video": "v", "sampled_videos": ["v"], "face_clusters": [
+        {"cluster_id": "face_0", "sample_count": 4_000, "representative_bbox": [0, 0, 9, 9], "thumbnail_path": "p"}], "observations": rows}))
+
+    def written():
+        return sum(f.stat().st_size for f in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+    before = written()
+    faces = documents.read_face_envelopes(spark, str(tmp_path)).collect(), documents.read_clusters(spark, str(tmp_path)).collect()
+    observations = documents.read_observations(spark, str(tmp_path))
+    assert observations.groupBy().agg({"obs_id": "sum"}).first()[0] == 4_000 * 3_999 // 2
+    assert [len(part) for part in faces] == [1, 1]
+    assert written() - before < 1_000_000  # the document has over two million bytes
