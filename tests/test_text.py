@@ -87,3 +87,16 @@ def test_detail_lines(spark):
     )
     got = [r.detail_lines for r in report.detail_lines(df).collect()]
     assert got == [["From: Ohio", "Pronunciation: K O R Y", "Heard as: Cory", "note"], []]
+
+
+def test_a_small_file_of_parts_makes_pairs_in_many_tasks(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(i, f"word{i} other{i}") for i in range(500)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, i % 25) for i in range(250)], "s_suppkey long, s_nationkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = entry.queries()["t12_spelling_relates"](spark, str(tmp_path))
+    from pyspark.sql import functions as F
+
+    tasks = pairs.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 500 * 10
+    assert len(tasks) > 4
