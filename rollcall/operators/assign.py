@@ -68,7 +68,7 @@ def probe_captures(events: DataFrame, frames: DataFrame, faces: DataFrame, toler
         "capture_ts", "timestamp", tolerance_s, "frame_ts",
     )
     bright = bright_frames(frames).select("job_id", "source_video", F.col("timestamp").alias("frame_ts")).distinct()
-    return found.join(bright, FRAME, "left_semi").join(faces, FRAME).select(
+    return found.join(faces.join(bright, FRAME, "left_semi"), FRAME).select(
         *EVENT, "offset_rank", "frame_ts", "face_id", "score", "obs_id"
     )
 

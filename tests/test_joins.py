@@ -63,3 +63,12 @@ def test_around_equals_a_search_of_sorted_times(spark, seed):
     assert got == want
     plan = around(p, t, ["job_id"], "at", "seen")._jdf.queryExecution().toString()
     assert "_slot" not in plan and "_salt" not in plan and "explode" not in plan.lower()
+
+
+def test_nearest_times_write_and_sort_no_probes(spark):
+    probes = spark.createDataFrame([("j", i, i * 0.25) for i in range(40)], "job_id string, event_id long, at double")
+    frames = spark.createDataFrame([("j", 1.0), ("j", 3.0), ("j", 3.0), ("j", None), ("k", 5.0)], "job_id string, ts double")
+    found = nearest_time(probes, frames, ["job_id"], ["event_id"], "at", "ts", 0.5, "frame")
+    assert "repartitionByRange" not in (plan := found._jdf.queryExecution().toString()) and "REPARTITION_BY" not in plan and "checkpoint" not in plan
+    assert "Window" not in plan
+    assert {(r.event_id, r.frame) for r in found.collect()} == {(i, 1.0) for i in range(2, 7)} | {(i, 3.0) for i in range(10, 15)}
