@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.functions import scalars
 from rollcall.functions import text as tx
 from rollcall.operators import names, report
 
@@ -100,3 +101,9 @@ def test_a_small_file_of_parts_makes_pairs_in_many_tasks(spark, tmp_path):
     tasks = pairs.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
     assert sum(r["count"] for r in tasks) == 500 * 10
     assert len(tasks) > 4
+
+
+def test_stems_lose_dots_and_underscores_at_both_ends(spark):
+    texts = {"..a  b..": "a_b", "": "intro", "._._": "intro", "x" + "." * 9 + "y_": "x.........y", "é": "intro", "." * 200_000 + "a" + "._" * 100_000 + "b": "a" + "._" * 100_000 + "b"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.safe_stem(F.col("t"), "intro").alias("stem")).collect()
+    assert {r.t: r.stem for r in rows} == texts
