@@ -1,5 +1,6 @@
 """Clip planning, timecodes, frame sampling and pictures, by worked examples."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -120,3 +121,29 @@ def test_speaker_evidence(spark):
 def test_best_frame_without_faces(spark):
     obs = spark.createDataFrame([("j", 0, 7.0, "")], OBS)
     assert screengrab.best_frames(obs).first().timestamp == 0.0
+
+
+def test_first_visible_stage_by_stage(spark):
+    rng = random.Random(5)
+    bright = {"m": [float(s) for s in range(0, 900) if rng.random() < 0.03], "n": [300.0]}
+    frames = spark.createDataFrame([("j", v, s, 50.0) for v, at in bright.items() for s in at] + [("j", "m", 700.5, 50.0), ("j", "m", 5.0, 1.0), ("j", "n", None, 50.0)],
+                                   "job_id string, source_video string, second double, brightness double")
+    bright["m"].append(700.5)
+    times = [0.0, 0.35, 0.5, 2.99, 127.9, 128.0, 128.49, 133.0, 383.75, 699.6, 1020.0, None, *[rng.uniform(0, 950) for _ in range(150)]]
+    probes = [(v, t) for t in times for v in ("m", "n", "none", None)]
+    rows = [("j", i, v, t) for i, (v, t) in enumerate(probes)]
+    events = spark.createDataFrame(rows, "job_id string, event_id long, source_video string, timestamp double")
+    found = clips.first_visible(events, frames)
+    # events are neither listed once per stage nor sorted by time
+    assert "Window" not in found._jdf.queryExecution().toString()
+    got = {r.event_id: r.visible_s for r in found.collect()}
+
+    def by_hand(video, t):
+        ends = [0.0, *clips.SEARCH_OFFSETS]
+        for low, high in zip(ends, clips.SEARCH_OFFSETS):
+            inside = [] if t is None else [s for s in bright.get(video, []) if math.floor(max(t + low, 0.0)) <= s <= int(t + high)]
+            if high >= low and inside:
+                return min(inside)
+        return None
+
+    assert got == {i: by_hand(v, t) for i, (v, t) in enumerate(probes)}
