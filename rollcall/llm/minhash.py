@@ -20,10 +20,8 @@ BANDS = 32
 LIKENESS = 0.8
 #: How far under the wanted similarity a signature's estimate may lie before a pair is dropped: some seven deviations.
 DOUBT = 0.25
-#: Classes of one band bucket outside its head's component from which on those that share a second band are compared first.
+#: Pairs of one band bucket, classes outside its head's component times members, up to which all are compared.
 HOT = 256
-#: Parts that the members of a band bucket are dealt into.
-SALTS = 8
 #: Shingles that one matrix of permuted hashes covers.
 BLOCK = 512
 
@@ -163,10 +161,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LIKENE
     """(doc_id, component_id): documents whose shingle sets have a Jaccard similarity of ``least`` or more link.
 
     Texts with equal shingles are one class. The classes' signature bands meet in Spark; in a band every class is
-    compared with its band's smallest class, its head, first. Then every class that is still outside the component of a
-    head meets all members of the bucket in other components than its own, so a group of copies gives a star and not all its
-    pairs. Where more than ``HOT`` are outside, those that share a second band meet first, as sets at 0.8 share a dozen, and the
-    rest meet all others once this has joined components. Pairs whose signatures put them ``DOUBT`` or more under ``least`` go,
+    compared with its bucket's head first, a class that meets most others over all bands, so a group of copies gives a star
+    and not all its pairs. Then the classes that are still outside
+    the component of a head meet the members of the bucket in other components than their own: all of them where these are ``HOT`` pairs
+    or fewer, else those that the head does not rule out (``_past_heads``), none of which can be lost.
+    Pairs whose signatures put them ``DOUBT`` or more under ``least`` go,
     Jaccard is computed on the whole shingle sets of the others: a second pass over the texts makes the sets of classes that
     share a band, and of no others. Two sets at 0.8 share a band of four permutations with a probability over 0.9999999, and the
     signatures keep them with one over 0.99999999. Texts without words are one class. Null text counts as
@@ -177,28 +176,39 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LIKENE
     place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("place")
     classes = rows.groupBy("key").agg(place, F.first("bands").alias("bands")).withColumn("class", F.monotonically_increasing_id())
     classes = stored(classes.select("class", "key", F.col("place.doc_id").alias("first"), F.col("place.mark").alias("mark"), "bands"))
-    banded = stored(classes.select("class", F.posexplode("bands").alias("band", "key")))
-    heads = banded.groupBy("band", "key").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = banded.join(heads, ["band", "key"])
+    shared = _shared(classes)
     sets = _sets(texts, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
-    stars = shared.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
-    linked = stored(_alike(stars, classes, sets, least))
-    outside, members = _outside(banded, heads, components(linked))
-    sizes = outside.groupBy("band", "key").agg(F.count("*").alias("left"))
-    hot = stored(sizes.where(F.col("left") > HOT).select("band", "key"))
-    tried = stored(_across(outside.join(hot, ["band", "key"], "left_anti"), members).unionByName(_across(
-        _second(outside.join(hot, ["band", "key"]), banded), _second(members.join(hot, ["band", "key"]), banded))).distinct())
-    linked = stored(linked.unionByName(_alike(tried, classes, sets, least)))
-    joined = components(linked)
-    if not hot.isEmpty():
-        outside, members = _outside(banded.join(hot, ["band", "key"]), heads, joined)
-        rest = _across(outside, members).join(tried, ["a", "b"], "left_anti")
-        joined = components(linked.unionByName(_alike(rest, classes, sets, least)))
+    linked = stored(_alike(_pairs(shared.where("class <> head"), "class", "head"), classes, sets, least))
+    members = _members(shared.where("n > 2"), components(linked))
+    pairs = _within(members.where("NOT hot")).unionByName(_past_heads(members.where("hot"), sets, least)).distinct()
+    joined = components(linked.unionByName(_alike(pairs, classes, sets, least)))
     named = classes.select("key", "class", "first").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "key").join(named.join(ids, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
+def _shared(classes: DataFrame) -> DataFrame:
+    """(band, key, class, n, head) of the buckets of two classes or more, n members each.
+
+    A bucket turns to its member that meets most others over all bands, and its head is the class that most buckets of this
+    member turn to: an edited copy stands back for its original even where the edit has parted the two.
+    """
+    banded = stored(classes.select("class", F.posexplode("bands").alias("band", "key")))
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(banded.join(sizes, ["band", "key"]))
+    back = (-F.col("class")).alias("back")
+    turned = met.join(met.groupBy("class").agg(F.sum("n").alias("others")), "class").groupBy("band", "key").agg(F.max(F.struct("others", back)).alias("to"))
+    votes = met.join(turned, ["band", "key"]).groupBy("class", "to").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("class").agg(F.max(F.struct("votes", "to")).alias("most")).select((-F.col("class")).alias("back"), (-F.col("most.to.back")).alias("head"))
+    heads = turned.select("band", "key", F.col("to.back").alias("back")).join(chosen, "back").drop("back")
+    return stored(met.join(heads, ["band", "key"]))
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b), a over b, of two columns of classes."""
+    return rows.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(class, shingles) of the wanted classes, from one text of each."""
     known = F.coalesce("doc_id", F.lit(0)).alias("known")
@@ -208,28 +218,55 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return stored(made.join(wanted.select("key", "class"), "key").groupBy("class").agg(F.first("shingles").alias("shingles")))
 
 
-def _outside(banded: DataFrame, heads: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (band, key, class, component, inside) of the buckets, first those outside their head's component, then all."""
+def _members(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members (band, key, class, head, component, outside, hot) of the buckets that hold classes outside their head's component."""
     of_class = joined.select(F.col("node").alias("class"), "component")
     of_head = joined.select(F.col("node").alias("head"), F.col("component").alias("main"))
-    members = banded.join(heads, ["band", "key"]).join(of_class, "class", "left").join(of_head, "head", "left")
-    members = members.withColumn("component", F.coalesce("component", "class")).withColumn("inside", F.col("component") == F.coalesce("main", "head"))
-    members = stored(members.select("band", "key", "class", "component", "inside"))
-    return members.where("NOT inside"), members
+    placed = shared.join(of_class, "class", "left").join(of_head, "head", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = placed.withColumn("outside", F.col("component") != F.coalesce("main", "head"))
+    left = placed.where("outside").groupBy("band", "key").agg((F.count("*") * (F.first("n") - 1) > HOT).alias("hot"))
+    return stored(placed.join(left, ["band", "key"]).select("band", "key", "class", "head", "component", "outside", "hot"))
 
 
-def _second(members: DataFrame, banded: DataFrame) -> DataFrame:
-    """The members once per further band of theirs, keyed by both."""
-    further = banded.select("class", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    return members.join(further, "class").where("band <> band2").withColumn("key", F.xxhash64("key", "band2", "key2")).select(*members.columns)
+def _within(members: DataFrame) -> DataFrame:
+    """Pairs of the classes outside with all members of their buckets in other components, the head apart."""
+    x = members.where("outside").select("band", "key", F.col("class").alias("x"), F.col("component").alias("cx"))
+    y = members.where("class <> head").select("band", "key", F.col("class").alias("y"), F.col("component").alias("cy"), "outside")
+    return _pairs(x.join(y, ["band", "key"]).where("cx <> cy AND (NOT outside OR x > y)"), "x", "y")
 
 
-def _across(outside: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a over b, of the classes outside with the members of their buckets in other components."""
-    x = outside.select("band", "key", F.col("class").alias("x"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    y = members.select("band", "key", F.col("class").alias("y"), F.col("component").alias("cy"), "inside", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int").alias("salt"))
-    met = x.join(y, ["band", "key", "salt"]).where("cx <> cy AND (inside OR x > y)")
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _past_heads(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs of the classes outside with members under the same head in other components that can be alike.
+
+    Alike sets share ``least`` / (1 + ``least``) of both sizes. What a set shares with the head is known, so is how many shingles that
+    the head lacks it has to share with the smallest set under the head, m. Is it one at least, alike sets share one of the first own - m + 1 of both
+    sets' own, the rarest first: their first common one has the others behind it. Or all that they share is the head's, then
+    each shares enough with the head for both sizes; as the class outside is not alike to the head, the other set is smaller than the head.
+    """
+    under = members.where("class <> head").groupBy("class", "head").agg(F.first("component").alias("component"), F.first("outside").alias("outside"))
+    of_head = sets.select(F.col("class").alias("head"), F.col("shingles").alias("core"))
+    parted = stored(under.join(sets, "class").join(of_head, "head").select(
+        "class", "head", "component", "outside", F.size("shingles").alias("size"), F.size("core").alias("of_head"), F.array_except("shingles", "core").alias("own")))
+    part = least / (1 + least)
+    told = parted.select("class", "head", "component", "outside", "size", "of_head", F.size("own").alias("own"))
+    told = told.join(told.groupBy("head").agg(F.min("size").alias("least_size")), "head").withColumn("shared", F.col("size") - F.col("own"))
+    held = parted.select("class", "head", F.explode("own").alias("shingle"))
+    several = held.groupBy("head", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = held.join(several, ["head", "shingle"]).groupBy("class", "head").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    lacking = part * (F.col("size") + F.greatest("least_size", F.lit(least) * F.col("size"))) - F.col("shared")
+    first = F.size("ranked") + 1 - F.greatest(F.lit(1), F.ceil(lacking - 1e-6).cast("int"))  # those that no other class has come before them
+    rare = stored(told.join(ranked, ["class", "head"]).withColumn("rare", F.explode(F.slice("ranked", 1, F.greatest(first, F.lit(0))))).select(
+        "head", F.col("rare.shingle").alias("shingle"), "class", "component", "outside", "size"))
+    x = rare.where("outside").select("head", "shingle", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"))
+    y = rare.select("head", "shingle", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), "outside")
+    sized = F.least("sx", "sy") >= F.lit(least) * F.greatest("sx", "sy") - 1e-6
+    apart = "cx <> cy AND (NOT outside OR x > y)"
+    found = _pairs(x.join(y, ["head", "shingle"]).where(apart).where(sized), "x", "y")
+
+    small = told.where("size < of_head").select("head", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), "shared")
+    x = told.where("outside").where(lacking <= 1e-6).select("head", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("shared").alias("shared_x"))
+    enough = F.least("shared_x", "shared") >= part * (F.col("sx") + F.col("sy")) - 1e-6
+    return found.unionByName(_pairs(x.join(small, "head").where("cx <> cy").where(enough), "x", "y"))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:

@@ -118,3 +118,21 @@ def test_outliers_of_large_families_stay_linked(spark, monkeypatch):
         monkeypatch.setattr(minhash, "HOT", hot)
         got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
         assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
+def test_outliers_of_a_family_are_not_all_compared(spark, monkeypatch):
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        changed = list(base)
+        for k in rng.sample(range(5, 195, 5), rng.randint(1, 12)):
+            changed[k] = f"n{rng.random()}"
+        texts.append(" ".join(changed))
+    monkeypatch.setattr(minhash, "HOT", 1)
+    compared, plain = [], minhash._alike
+    monkeypatch.setattr(minhash, "_alike", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    alike = {i for i in range(1, 301) if jaccard(sets(texts[i]), sets(texts[0])) >= 0.8}
+    assert len(alike) < 200 and {i for i in got if got[i] == 0} >= alike
+    assert sum(compared) < 15 * len(texts)
