@@ -180,8 +180,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LIKENE
     sets = _sets(texts, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
     linked = stored(_alike(_pairs(shared.where("class <> head"), "class", "head"), classes, sets, least))
     members = _members(shared.where("n > 2"), components(linked))
-    pairs = _within(members.where("NOT hot")).unionByName(_past_heads(members.where("hot"), sets, least)).distinct()
-    joined = components(linked.unionByName(_alike(pairs, classes, sets, least)))
+    pairs = _within(members.where("NOT hot"))
+    if not members.where("hot").isEmpty():
+        pairs = pairs.unionByName(_past_heads(members.where("hot"), sets, least)).distinct()
+    joined = components(linked.unionByName(_alike(stored(pairs), classes, sets, least)))
     named = classes.select("key", "class", "first").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "key").join(named.join(ids, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
