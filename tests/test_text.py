@@ -1,5 +1,7 @@
 """Names, places and spellings in transcript text, by worked examples."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,11 @@ def test_stems_lose_dots_and_underscores_at_both_ends(spark):
     texts = {"..a  b..": "a_b", "": "intro", "._._": "intro", "x" + "." * 9 + "y_": "x.........y", "é": "intro", "." * 200_000 + "a" + "._" * 100_000 + "b": "a" + "._" * 100_000 + "b"}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.safe_stem(F.col("t"), "intro").alias("stem")).collect()
     assert {r.t: r.stem for r in rows} == texts
+
+
+def test_stems_replace_whatever_the_ranges_leave_out_and_do_so_once(spark):
+    texts = [f"a{chr(c)}{chr(c)}b" for c in [*range(1, 0x250), 0x2028, 0xFFFD, 0x1F600]] + ["-.a-", "a\\b", "a]b^c", "\u0130\u212a"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", scalars.safe_stem(F.col("t"), "intro").alias("stem"))
+    plain = {t: re.sub("[^A-Za-z0-9._-]+", "_", t).strip("._") or "intro" for t in texts} | {None: "intro"}
+    assert {r.t: r.stem for r in rows.collect()} == plain
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
