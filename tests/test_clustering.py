@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import clustering, density, kmeans, vectors
+from rollcall.operators import blocks, clustering, density, kmeans, vectors
 
 
 def _components(points, eps):
@@ -55,6 +55,35 @@ def test_density_components_are_exact(spark, monkeypatch, seed, spread, leaders,
         assert {frozenset(g) for (j, _), g in got.items() if j == job} == _components(points, density.EPS)
 
 
+def test_vectors_move_only_where_they_are_compared(spark, monkeypatch):
+    """Three crowded cells, of which two neighbours hold different components, and one row for a null job."""
+    cut, seen = density.cut_lineage, []
+
+    def watched(df):
+        out = cut(df)
+        if {"comp", "vector"} <= set(out.columns):
+            seen.append({r.point_id for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(density, "cut_lineage", watched)
+    near = {i: [0.01 * i, 0.1, 0.1] for i in range(10)} | {i: [0.9 + 0.001 * i, 0.1, 0.1] for i in range(10, 20)}
+    points = near | {i: [30 + 0.01 * i, 0.1, 0.1] for i in range(20, 40)}
+    rows = [("a", i, v) for i, v in points.items()] + [(None, 99, [0.0, 0.0, 0.0])]
+    got = {}
+    for r in density.density_components(spark.createDataFrame(rows, "job_id string, point_id long, vector array<double>")).collect():
+        got.setdefault((r.job_id, r.comp), set()).add(r.point_id)
+    assert sorted(map(sorted, got.values())) == [list(range(10)), list(range(10, 20)), list(range(20, 40))]
+    assert seen == [set(near)]
+
+
+def test_blocks_of_few_points_are_told_without_moving_them(spark):
+    points = spark.range(40).selectExpr("CAST(id % 4 AS STRING) AS job_id", "id AS point_id", "array(1.0D) AS vector")
+    assert "hashpartitioning" not in blocks.cut_blocks(points, ["job_id"])._jdf.queryExecution().executedPlan().toString()
+    assert {r.block for r in blocks.cut_blocks(points, ["job_id"]).collect()} == {0}
+    sizes = [r["count"] for r in blocks.cut_blocks(points, ["job_id"], 3).groupBy("job_id", "block").count().collect()]
+    assert sum(sizes) == 40 and len(sizes) > 8
+
+
 def test_density_labels_are_numbered_by_first_observation(spark):
     rows = [("a", i, [x, 0.0, 0.0]) for i, x in ((5, 0.0), (1, 9.0), (3, 0.1), (2, 4.0), (9, 4.1))]
     df = spark.createDataFrame(rows, "job_id string, obs_id long, feature array<double>")
