@@ -7,7 +7,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 from itertools import accumulate
 
 import numpy as np
@@ -46,7 +46,6 @@ class Codec:
 
     def __init__(self, tokenizer_json: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec, alphabet = json.loads(tokenizer_json), byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -55,10 +54,7 @@ class Codec:
         if any(spec["model"]["vocab"][a + b] != 256 + i for i, (a, b) in enumerate(pairs)):
             raise ValueError("token ids must follow the order of the merges")
         self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocabulary, special_tokens=self.special)
-        whole = Tokenizer.from_str(tokenizer_json)
-        whole.no_padding()
-        whole.no_truncation()
-        self.whole = whole
+        self.tokenizer_json = tokenizer_json
         size = max([*vocabulary.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
         for token, i in vocabulary.items():
@@ -72,6 +68,16 @@ class Codec:
         self.kept_bytes = 0
         self.n_encoded = self.n_reused = 0
 
+    @cached_property
+    def whole(self):
+        """The tokenizers library's own encoder, made when a text needs it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_str(self.tokenizer_json)
+        whole.no_padding()
+        whole.no_truncation()
+        return whole
+
     def plain(self, text: str) -> np.ndarray:
         """Ids of a text encoded in one go."""
         if len(text) > LONG_RUN and longest_run(text.encode()) > LONG_RUN:
@@ -107,7 +113,7 @@ class Codec:
         done = 0  # tokens of ``left`` that are already in ids
         for piece in pieces[1:]:
             right = self.chunk(piece)
-            if len(right.edges) < 2:  # no room for a join inside: it becomes part of the join
+            if len(right.packed_edges) < 2:  # no room for a join inside: it becomes part of the join
                 bridge += piece
                 continue
             joined = self.repair(left, done, bridge, right)
@@ -131,12 +137,13 @@ class Codec:
         """
         reach = 1
         edges = [e for e in left.edges if e[1] >= done]
-        while reach < len(edges) and (right is None or reach < len(right.edges)):
+        heads = [] if right is None else right.edges
+        while reach < len(edges) and (right is None or reach < len(heads)):
             (from_byte, from_token), (_, to_token) = edges[-1 - reach], edges[-1]
             before = left.ids[from_token:to_token]
             head, after, skip = b"", left.ids[:0], 0
             if right is not None:
-                (_, skip), (head_byte, head_token) = right.edges[0], right.edges[reach]
+                (_, skip), (head_byte, head_token) = heads[0], heads[reach]
                 head, after = right.piece[:head_byte], right.ids[skip:head_token]
             ids = self.join(left.piece[from_byte:] + bridge + head)
             if np.array_equal(ids[: len(before)], before) and np.array_equal(ids[len(ids) - len(after) :], after):
@@ -162,7 +169,12 @@ class Chunk:
             ends |= {len(piece) - at: len(ids) - k for k, at in enumerate(back, 1)}
             at_tail = len(piece) - back[-1]
             edges += [m.end() for m in EDGE.finditer(piece, at_tail, len(piece))]
-        self.edges = [(at, ends[at]) for at in edges if at in ends]
+        self.packed_edges = np.array([(at, ends[at]) for at in edges if at in ends], np.int32).reshape(-1, 2)
+
+    @property
+    def edges(self) -> list[list[int]]:
+        """Kept as one small array: as tuples they would take more memory than the text."""
+        return self.packed_edges.tolist()
 
 
 def longest_run(raw: bytes) -> int:
@@ -213,6 +225,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], spec, with_ids: bool) -> Ite
             columns.append(pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *lists])))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
 
 def encode(docs: DataFrame, tokenizer: str, with_ids: bool = True) -> DataFrame:

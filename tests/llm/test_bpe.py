@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 from cases import documents, odd_texts
@@ -49,3 +50,16 @@ def test_empty_table_and_null_ids(spark):
     docs = documents(spark, ["a", "a"], [None, None])
     assert bpe.encode(docs.limit(0), FILE).count() == 0
     assert [r.n_tokens for r in bpe.encode(docs, FILE, with_ids=False).collect()] == [1, 1]
+
+
+def test_kept_chunks_take_little_more_than_their_text_and_ids():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        codec = bpe.Codec(file.read())
+    assert "whole" not in vars(codec)  # a second encoder in every worker, only for texts that need it
+    pieces = [b" ".join(b"word%d" % (k * 300 + i) for i in range(250)) for k in range(200)]
+    tracemalloc.start()
+    chunks = [codec.chunk(piece) for piece in pieces]
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert taken < sum(c.ids.nbytes + 1200 for c in chunks)
+    assert all(len(c.edges) == len(c.packed_edges) > 2 for c in chunks)
