@@ -24,6 +24,8 @@ DOUBT = 0.25
 HOT = 256
 #: Shingles that one matrix of permuted hashes covers.
 BLOCK = 512
+#: Bits of a parity sketch, a power of two.
+SKETCH = 1024
 
 _RNG = np.random.default_rng(20_000)
 _FACTORS = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -56,6 +58,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes with equal lowest bits, in 64-bit words.
+
+    The sketches of two sets differ in the parities of what only one of them holds: in no more bits than there are such hashes.
+    """
+    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 # --- neighbours by id -------------------------------------------------------------------------------------------------
 
 
@@ -147,7 +158,8 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
     for batch in by_bytes(batches, "text"):
         sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
         keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
+        columns = [keys, *(pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (lambda s: s.view(np.int64), sketch))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "shingles", "sketch"])
 
 
 def _likely_rows(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -212,12 +224,12 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, shingles) of the wanted classes, from one text of each."""
+    """(class, shingles, sketch) of the wanted classes, from one text of each."""
     known = F.coalesce("doc_id", F.lit(0)).alias("known")
     places = wanted.select(F.coalesce("first", F.lit(0)).alias("known"), "mark").distinct()
     found = texts.select(known, "mark", "text").join(places, ["known", "mark"], "left_semi").distinct()
-    made = found.select("text").mapInArrow(partial(_shingle_rows, width=width), "key binary, shingles array<long>")
-    return stored(made.join(wanted.select("key", "class"), "key").groupBy("class").agg(F.first("shingles").alias("shingles")))
+    made = found.select("text").mapInArrow(partial(_shingle_rows, width=width), "key binary, shingles array<long>, sketch array<long>")
+    return stored(made.join(wanted.select("key", "class"), "key").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")))
 
 
 def _members(shared: DataFrame, joined: DataFrame) -> DataFrame:
@@ -240,35 +252,41 @@ def _within(members: DataFrame) -> DataFrame:
 def _past_heads(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs of the classes outside with members under the same head in other components that can be alike.
 
-    Alike sets share ``least`` / (1 + ``least``) of both sizes. What a set shares with the head is known, so is how many shingles that
-    the head lacks it has to share with the smallest set under the head, m. Is it one at least, alike sets share one of the first own - m + 1 of both
-    sets' own, the rarest first: their first common one has the others behind it. Or all that they share is the head's, then
-    each shares enough with the head for both sizes; as the class outside is not alike to the head, the other set is smaller than the head.
+    The family's core is the head and every shingle that over half of the classes under it hold, whether the head does or not; a set's
+    other shingles are its own. Alike sets share ``least`` / (1 + ``least``) of both sizes. What a set shares with the core is known, so is
+    how many own shingles it has to share with the smallest set under the head, m. Is it one at least, alike sets share one of the
+    first own - m + 1 of both sets' own, the rarest first: their first common one has the others behind it. Or all that they
+    share is the core's, then each shares enough with the core for both sizes. In either case their sketches
+    differ in no more bits than alike sets in shingles.
     """
     under = members.where("class <> head").groupBy("class", "head").agg(F.first("component").alias("component"), F.first("outside").alias("outside"))
-    of_head = sets.select(F.col("class").alias("head"), F.col("shingles").alias("core"))
+    of_head = sets.select(F.col("class").alias("head"), F.col("shingles").alias("of_head"))
     parted = stored(under.join(sets, "class").join(of_head, "head").select(
-        "class", "head", "component", "outside", F.size("shingles").alias("size"), F.size("core").alias("of_head"), F.array_except("shingles", "core").alias("own")))
-    part = least / (1 + least)
-    told = parted.select("class", "head", "component", "outside", "size", "of_head", F.size("own").alias("own"))
-    told = told.join(told.groupBy("head").agg(F.min("size").alias("least_size")), "head").withColumn("shared", F.col("size") - F.col("own"))
+        "class", "head", "component", "outside", "sketch", F.size("shingles").alias("size"), F.array_except("shingles", "of_head").alias("own")))
+    families = parted.groupBy("head").agg(F.count("*").alias("classes"), F.min("size").alias("least_size"))
     held = parted.select("class", "head", F.explode("own").alias("shingle"))
-    several = held.groupBy("head", "shingle").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = held.join(several, ["head", "shingle"]).groupBy("class", "head").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    several = held.groupBy("head", "shingle").agg(F.count("*").alias("n")).where("n > 1").join(families.select("head", "classes"), "head")
+    core = F.col("n") * 2 > F.col("classes")
+    met = held.join(several, ["head", "shingle"]).groupBy("class", "head").agg(
+        F.count_if(core).alias("in_core"), F.sort_array(F.collect_list(F.when(~core, F.struct("n", "shingle")))).alias("ranked"))
+    told = parted.withColumn("own", F.size("own")).join(met, ["class", "head"], "left").join(families.select("head", "least_size"), "head")
+    told = stored(told.withColumn("shared", F.col("size") - F.col("own") + F.coalesce("in_core", F.lit(0))))
+    part = least / (1 + least)
     lacking = part * (F.col("size") + F.greatest("least_size", F.lit(least) * F.col("size"))) - F.col("shared")
     first = F.size("ranked") + 1 - F.greatest(F.lit(1), F.ceil(lacking - 1e-6).cast("int"))  # those that no other class has come before them
-    rare = stored(told.join(ranked, ["class", "head"]).withColumn("rare", F.explode(F.slice("ranked", 1, F.greatest(first, F.lit(0))))).select(
-        "head", F.col("rare.shingle").alias("shingle"), "class", "component", "outside", "size"))
-    x = rare.where("outside").select("head", "shingle", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"))
-    y = rare.select("head", "shingle", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), "outside")
-    sized = F.least("sx", "sy") >= F.lit(least) * F.greatest("sx", "sy") - 1e-6
-    apart = "cx <> cy AND (NOT outside OR x > y)"
-    found = _pairs(x.join(y, ["head", "shingle"]).where(apart).where(sized), "x", "y")
-
-    small = told.where("size < of_head").select("head", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), "shared")
-    x = told.where("outside").where(lacking <= 1e-6).select("head", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("shared").alias("shared_x"))
+    rare = stored(told.where(F.size("ranked") > 0).withColumn("rare", F.explode(F.slice("ranked", 1, F.greatest(first, F.lit(0))))).select(
+        "head", F.col("rare.shingle").alias("shingle"), "class", "component", "outside", "size", "sketch"))
+    differing = sum((F.bit_count(F.col("kx")[i].bitwiseXOR(F.col("ky")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    near = (F.expr("cx <> cy AND (NOT outside OR x > y)")
+            & (F.least("sx", "sy") >= F.lit(least) * F.greatest("sx", "sy") - 1e-6)
+            & (differing <= (1 - 2 * part) * (F.col("sx") + F.col("sy")) + 1e-6))
+    x = [F.col(c).alias(n) for c, n in (("class", "x"), ("component", "cx"), ("size", "sx"), ("sketch", "kx"))]
+    y = [F.col(c).alias(n) for c, n in (("class", "y"), ("component", "cy"), ("size", "sy"), ("sketch", "ky"), ("outside", "outside"))]
+    found = _pairs(rare.where("outside").select("head", "shingle", *x).join(rare.select("head", "shingle", *y), ["head", "shingle"]).where(near), "x", "y")
+
+    close = told.where("outside").where(lacking <= 1e-6).select("head", F.col("shared").alias("shared_x"), *x)
     enough = F.least("shared_x", "shared") >= part * (F.col("sx") + F.col("sy")) - 1e-6
-    return found.unionByName(_pairs(x.join(small, "head").where("cx <> cy").where(enough), "x", "y"))
+    return found.unionByName(_pairs(close.join(told.select("head", "shared", *y), "head").where(enough & near), "x", "y"))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:

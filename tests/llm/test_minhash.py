@@ -136,3 +136,32 @@ def test_outliers_of_a_family_are_not_all_compared(spark, monkeypatch):
     alike = {i for i in range(1, 301) if jaccard(sets(texts[i]), sets(texts[0])) >= 0.8}
     assert len(alike) < 200 and {i for i in got if got[i] == 0} >= alike
     assert sum(compared) < 15 * len(texts)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(15)
+    for size in (0, 40, 3000):
+        every = rng.integers(0, 1 << 63, size + 60, dtype=np.uint64)
+        a, b = every[:size], every[rng.integers(0, 50) :]
+        bits = sum(int(x).bit_count() for x in (minhash.sketch(a) ^ minhash.sketch(b)).view(np.uint64))
+        assert bits <= np.setxor1d(a, b).size
+
+
+def test_a_shingle_that_only_the_head_lacks_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base[:-1] + ["end"])]
+    for _ in range(250):
+        changed = list(base)
+        for k in [0, *rng.sample(range(6, 190, 6), 4)]:
+            changed[k] = f"n{rng.random()}"
+        texts.append(" ".join(changed))
+    texts += [t + " more" for t in texts[1:8]]
+    shingled = [sets(t) for t in texts]
+    near = {(j, i) for i, j in combinations(range(len(texts)), 2) if jaccard(shingled[i], shingled[j]) >= 0.8}
+    monkeypatch.setattr(minhash, "HOT", 1)
+    compared, plain = [], minhash._alike
+    monkeypatch.setattr(minhash, "_alike", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert near and all(got[a] == got[b] for a, b in near) and len(set(got.values())) > 200
+    assert sum(compared) < 15 * len(texts)
