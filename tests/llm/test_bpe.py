@@ -1,6 +1,9 @@
 import hashlib
 import random
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import public_tokenizers
 from cases import documents, odd_texts
@@ -63,3 +66,37 @@ def test_kept_chunks_take_little_more_than_their_text_and_ids():
     tracemalloc.stop()
     assert taken < sum(c.ids.nbytes + 1200 for c in chunks)
     assert all(len(c.edges) == len(c.packed_edges) > 2 for c in chunks)
+
+
+LEFT = """
+import random, re, sys
+sys.path.insert(0, sys.argv[1])
+import pyarrow as pa
+from rollcall.llm import bpe
+
+def taken():
+    with open("/proc/self/smaps_rollup") as file:
+        return int(re.search(r"Pss_Anon:\\s+(\\d+)", file.read()).group(1)) // 1024
+
+class Spec:
+    with open(sys.argv[2], encoding="utf-8") as file:
+        value = file.read()
+
+def batches():
+    rng = random.Random(8)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=6)) for _ in range(6000)) for _ in range(5)]
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": texts})
+
+before = taken()
+for rows in bpe._encode_rows(batches(), Spec, True):
+    pass
+del rows
+print(taken() - before)
+"""
+
+
+def test_a_worker_gives_the_encoders_memory_back():
+    root = str(Path(__file__).resolve().parents[2])
+    left = subprocess.run([sys.executable, "-c", LEFT, root, FILE], capture_output=True, text=True, check=True).stdout
+    assert int(left) < 60
