@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm import bpe, mixing, near_copies, quality, secrets
 from rollcall.llm.shared import stored
+from rollcall.llm.words import hand_back
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of documents that are not held out. Without any it keeps all."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    hand_back()  # what training took on the driver
     return quality.accepted(docs, model)
 
 

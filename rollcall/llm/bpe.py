@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import hashlib
 import json
@@ -15,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollcall.llm.words import by_bytes, hash_windows
+from rollcall.llm.words import by_bytes, hand_back, hash_windows
 
 # Fixed value: how byte-level vocabularies of this family cut text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -206,14 +205,6 @@ def code_point(raw: bytes, at: int) -> int:
     return at
 
 
-def hand_back() -> None:
-    """Gives memory that a task has freed back to the system: the worker lives on for other stages."""
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def _encode_rows(batches: Iterator[pa.RecordBatch], spec, with_ids: bool) -> Iterator[pa.RecordBatch]:
     codec = Codec(spec.value)
     gc.freeze()  # the vocabulary stays; no need to look through it again and again

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,14 @@ def hash_shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(total + np.uint64(span))
 
 
+def hand_back() -> None:
+    """Gives memory that this process has freed back to the system: workers and the driver live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of text each, and one row at least."""
     for batch in batches:

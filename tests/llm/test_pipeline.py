@@ -65,3 +65,11 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in results[4]) == wanted
     assert Counter(tuple(r.ids) for r in corpus_pipeline.run(spark, folder).collect()) == Counter(tuple(r.ids) for r in results[4])
     assert re.search("SECRET", "".join(r.text for r in results[3]))
+
+
+def test_the_driver_gives_the_memory_of_training_back(spark, monkeypatch):
+    trained, fit, handed = [], quality.fit, []
+    monkeypatch.setattr(quality, "fit", lambda *rest: trained.append(1) or fit(*rest))
+    monkeypatch.setattr(corpus_pipeline, "hand_back", lambda: handed.append(len(trained)))
+    corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+    assert handed == [1]
