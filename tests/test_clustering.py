@@ -55,6 +55,37 @@ def test_density_components_are_exact(spark, monkeypatch, seed, spread, leaders,
         assert {frozenset(g) for (j, _), g in got.items() if j == job} == _components(points, density.EPS)
 
 
+@pytest.mark.parametrize("sent,held", [(1 << 22, 3), (0, 1 << 15)])
+def test_components_are_the_same_however_points_meet_leaders(spark, monkeypatch, sent, held):
+    """Leaders sent to every task, with few rows held at once, or points moved to them."""
+    monkeypatch.setattr(density, "SENT", sent)
+    monkeypatch.setattr(density, "HELD_ROWS", held)
+    monkeypatch.setattr(density, "LEADERS_PER_CELL", 2)
+    jobs = _random_jobs(4, 1.5)
+    got = {}
+    for r in density.density_components(_frame(spark, jobs, True).repartition(3)).collect():
+        got.setdefault((r.job_id, r.comp), set()).add(r.point_id)
+    for job, points in jobs.items():
+        assert {frozenset(g) for (j, _), g in got.items() if j == job} == _components(points, density.EPS)
+
+
+def test_no_table_of_all_vectors_is_written(spark, monkeypatch):
+    """400 points, all within reach of their cell's leaders: only leaders' vectors are written."""
+    written = []
+    for name in ("cut_lineage", "stored"):
+        def watched(df, plain=getattr(density, name)):
+            out = plain(df)
+            for column in {"vector", "leader_vector"} & set(out.columns):
+                written.append(out.where(f"{column} IS NOT NULL").count())
+            return out
+
+        monkeypatch.setattr(density, name, watched)
+    rows = [("a", i, [0.1 * (i % 5), 0.2, 0.3, 5.0 * (i % 3), 0.1, 0.1]) for i in range(400)]
+    found = density.density_components(spark.createDataFrame(rows, "job_id string, point_id long, vector array<double>")).collect()
+    assert len(found) == 400 and len({r.comp for r in found}) == 3
+    assert sum(written) <= 2 * 3 * density.LEADERS_PER_CELL
+
+
 def test_vectors_move_only_where_they_are_compared(spark, monkeypatch):
     """Three crowded cells, of which two neighbours hold different components, and one row for a null job."""
     cut, seen = density.cut_lineage, []
