@@ -95,3 +95,32 @@ def test_depth_grows_with_the_corpus(spark):
     docs = documents(spark, [" ".join(s for _ in range(20) for s in rng.choice(["a b c d", "x b c e", "y c f"]).split()) for _ in range(60)])
     two, three = ({r.doc_id: r.score for r in S.score(docs, depth=d).collect()} for d in (2, 3))
     assert sum(three.values()) > sum(two.values()) + 100  # what follows "b c" depends on the word before
+
+
+def test_runs_that_occur_once_stay_in_their_task(spark):
+    """Almost every run of these texts occurs once; every one left its task with its context and suffix before."""
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) + " x y z" for _ in range(40)]
+    docs = documents(spark, texts).repartition(4).select("text")
+    counts = Counter(r for t in texts for w in (S.tokens(t),) for r in zip(w, w[1:], w[2:]))
+    bits = S.sketch_bits(40 * 54)
+    shared = spark.sparkContext.broadcast(S.sketch(docs.mapInArrow(lambda b: S._text_places(b, [2, 3], bits), S.PLACES), bits))
+    sent = docs.mapInArrow(lambda b: S._run_rows(b, 3, shared, 8), S.COUNTS)
+    runs = sum(len(S._unpacked(bytes(r.runs))) for r in sent.collect())
+    assert 2 * 4 <= runs < 0.4 * len(counts)  # the repeated ones in each task, and some by chance
+    found = sent.groupBy("bucket").applyInArrow(S._counting(3), "run long, context long, suffix long, n long").collect()
+    assert sorted(r.n for r in found) == sorted(n for n in counts.values() if n > 1)
+    words = S.hash_words([b"x", b"y", b"z"])
+    xyz = {int(S.hash_shingles(words, 3).view(np.int64)[0]): tuple(S.hash_shingles(words, 2).view(np.int64).tolist())}
+    assert xyz.items() <= {r.run: (r.context, r.suffix) for r in found}.items()
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(18)
+    for n in (1, 2, 1000):
+        runs = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        assert S._unpacked(S._packed(runs)).tolist() == runs.tolist()
+        assert S._unmix64(S.mix64(runs)).tolist() == runs.tolist()
+        for top in (200, 60_000, 1 << 40):
+            numbers = rng.integers(0, top, n)
+            assert S._unsmall(S._small(numbers)).tolist() == numbers.tolist()
