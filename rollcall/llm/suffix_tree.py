@@ -507,7 +507,7 @@ def grown(docs: DataFrame, counts: DataFrame, size: int, depth: int, divergence:
         values += [kept.select(F.col("context").alias("run"), F.col("backoff").alias("value"), F.col("seen").alias("n")), own.where("value <> 0").select("run", "value", "n")]
         kept_above, above = kept, own.drop("value")
         _free(rows, *([before] if width == widths[0] else []))
-    repeated.unpersist()
+    repeated.destroy()
     every = values[0]
     for more in values[1:]:
         every = every.unionByName(more)
@@ -603,6 +603,7 @@ def gains(texts: DataFrame, values: DataFrame, total: int, depth: int) -> DataFr
     """(row, gain), several rows each: what the tree changes in the log10 probability of ``texts(row, text)``."""
     bits = sketch_bits(total)
     valued = sketch(values.select("run").mapInArrow(partial(_value_places, bits=bits), PLACES), bits)
+    _sweep(texts.sparkSession)
     table = values.where(F.col("n") >= COMMON * total).orderBy("run").select("run", "value").toArrow()
     shared = texts.sparkSession.sparkContext.broadcast((table.column("run").to_numpy().copy(), table.column("value").to_numpy().copy(), valued))
     buckets = max(BUCKETS, total >> VALUE_BUCKET)
